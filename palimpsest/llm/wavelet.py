@@ -218,7 +218,7 @@ class LibraryEncoder:
         self._special = [t.content for t in self._tok.get_added_tokens_decoder().values()]
         self._split, self._model, self._letters = regex.compile(pattern).findall, self._tok.model, _letters()
         self._pieces: dict[str, bytes] = {}
-        self._cuts = Cuts(self._cut)
+        self._cuts = Cuts(self._cut, 1_000_000)
 
     def _cut(self, text: str) -> bytes:
         out = []
