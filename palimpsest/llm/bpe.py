@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, map_arrow
+from .common import HASHES, blocks, map_arrow
 
 _WIDE = "\t-\r\x1c-\x1f \x85\xa0 ᠎ -​    ⁠　﻿"
 #: White space other than single blanks and line ends: then the careful way is taken.
@@ -48,7 +48,7 @@ class Cuts(dict):
     Keys stand for a blank and the word, or for a word with a line end before it.
     """
 
-    def __init__(self, encode, most: int = 600_000):
+    def __init__(self, encode, most: int = 350_000):
         super().__init__()
         self._encode, self._most = encode, most
 
@@ -151,7 +151,7 @@ class BytePairs:
                     key = last << 32 | token
                     fits = known.get(key)
                     if fits is None:
-                        if len(known) >= 1_000_000:
+                        if len(known) >= 300_000:
                             known.clear()
                         fits = known[key] = beside(last, token)
                     if fits:
@@ -176,7 +176,7 @@ class BytePairs:
             if ids is None:
                 ids = _pack(self.piece(p.encode("utf-8", "surrogatepass")))
                 if len(p) <= 48:
-                    if len(self._pieces) >= 400_000:
+                    if len(self._pieces) >= 200_000:
                         self._pieces.clear()
                     self._pieces[p] = ids
             out.append(ids)
@@ -197,7 +197,8 @@ _READY: dict[tuple, tuple[BytePairs, Cuts]] = {}
 
 
 def _ready(vocabulary: bytes, pattern: str) -> tuple[BytePairs, Cuts]:
-    """Built once per worker process."""
+    """Built once per worker process; what other operators remembered in it goes, as workers are used again."""
+    HASHES.clear()
     key = hash(vocabulary), pattern
     if key not in _READY:
         b = BytePairs.from_text(vocabulary, pattern)
