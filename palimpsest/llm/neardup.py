@@ -9,10 +9,11 @@ stand in the same or in neighbouring partitions. For each partition the containm
 similarity that a linked pair of such sizes can have, in whole shingles, and bands and rows are tuned to that: small sets,
 where few overlaps are possible, get long rows. Texts write the band keys of their own partition and of the next.
 
-In a bucket everything is paired with its smallest document only. Pairs whose signatures agree by half are checked
-exactly, on the shingle sets. What doesn't agree with its bucket's smallest goes on: such rows get finer keys (the bucket's
-and further rows of the signature, several tries), so that a bucket full of texts with one shared passage falls apart
-instead of meeting in all pairs. Links are joined to classes by connected components.
+In a bucket everything is paired with its smallest document first. Pairs whose signatures agree by half are checked
+exactly, on the shingle sets, and links are joined by connected components. Links aren't transitive, so bucket mates that
+are in different components after that are compared in all pairs, and those that agree by half are checked too: each two
+texts that share a bucket and agree by half end in one class or have been checked. This takes signature comparisons in
+the square of a bucket's size only where its texts weren't joined.
 
 Nulls count as empty texts. Texts without words are alike, and equal texts always are. Texts of fewer than five words have
 one shingle of all their words. Rows without doc_id are left out; a doc_id that repeats counts once, with its smallest text hash.
@@ -29,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, batch, blocks, components, map_arrow, mix, only, shingle_hashes, words, written
+from .common import HASHES, batch, blocks, components, map_arrow, mix, only, shingle_hashes, ship, words, written
 
 ROWS = 96
 WIDTH = 1.25
@@ -126,44 +127,54 @@ def _agreement(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return map_arrow(both, run, "a long, b long, est double")
 
 
-def _finer(rows: DataFrame, sigs: DataFrame, level: int, tries: int = 6, width: int = 2) -> DataFrame:
-    """Keys of the bucket together with further signature rows: `tries` keys for each row."""
-    shape = pa.schema([("key", pa.int64()), ("doc_id", pa.int64())])
-
-    def run(batches):
-        for x in batches:
-            n = x.num_rows
-            if n:
-                sig = np.frombuffer(b"".join(x.column("sig").to_pylist()), np.uint32).reshape(-1, ROWS).astype(np.uint64)
-                key = np.array(x.column("key").to_pylist(), np.int64).view(np.uint64)
-                out = []
-                for t in range(tries):
-                    k = mix(key + np.uint64(t + 1 + 100 * level))
-                    for w in range(width):
-                        k = mix(k * np.uint64(0xA0761D6478BD642F) + sig[:, ROWS - 1 - (level * tries + t) * width - w])
-                    out.append(k.view(np.int64))
-                docs = np.array(x.column("doc_id").to_pylist(), np.int64)
-                yield batch(shape, [np.concatenate(out), np.tile(docs, tries)])
-
-    return map_arrow(rows.join(sigs.select("doc_id", "sig"), "doc_id").select("key", "doc_id", "sig"), run, "key long, doc_id long").distinct()
-
-
-def candidates(sigs: DataFrame, *, likely: float = 0.5, settled: float = 0.8, levels: int = 3) -> DataFrame:
-    """Pairs (a, b), b the smallest of a bucket, that are to be checked exactly."""
+def met(sigs: DataFrame) -> DataFrame:
+    """(key, a, b): each document a of a bucket that isn't its smallest, b."""
     rows = sigs.select(F.explode("keys").alias("key"), "doc_id")
-    found = None
-    for level in range(levels):
-        first = rows.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-        met = rows.join(first, "key").where("doc_id <> b").select("key", F.col("doc_id").alias("a"), "b")
-        met = written(met)
-        est = written(_agreement(met.select("a", "b").distinct(), sigs))
-        good = est.where(F.col("est") >= likely).select("a", "b")
-        found = good if found is None else found.unionByName(good)
-        left = met.join(est.where(F.col("est") < settled), ["a", "b"]).select("key", F.col("a").alias("doc_id"))
-        if level + 1 == levels or not left.head(1):
-            break
-        rows = written(_finer(left, sigs, level))
-    return found.distinct()
+    first = rows.groupBy("key").agg(F.min("doc_id").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(first, "key").where("doc_id <> b").select("key", F.col("doc_id").alias("a"), "b")
+
+
+def across(bucketed: DataFrame, sigs: DataFrame, roots: DataFrame, *, likely: float = 0.5, slice_rows: int = 1000) -> DataFrame:
+    """Pairs (a, b) of bucket mates in different components whose signatures agree by `likely`; pairs with a bucket's smallest
+    are left out, as they were checked before. Large buckets are cut into slices, and all pairs of slices are compared."""
+    rows = bucketed.join(roots.select(F.col("node").alias("a"), "root"), "a", "left").select("key", F.col("a").alias("doc_id"), F.coalesce("root", "a").alias("root"))
+    rows = written(rows)
+    mixed = rows.groupBy("key").agg(F.min("root").alias("r"), F.max("root").alias("s"), F.ceil(F.count("*") / slice_rows).cast("int").alias("slices")).where("r <> s").select("key", "slices")
+    rows = rows.join(mixed, "key").withColumn("i", F.pmod(F.xxhash64("doc_id"), "slices").cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rows = rows.select("key", F.least("i", "j").alias("low"), F.greatest("i", "j").alias("high"), "i", "doc_id", "root").join(sigs.select("doc_id", "sig"), "doc_id")
+    shape = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    least = math.ceil(likely * ROWS)
+
+    def run(t: pa.Table) -> pa.Table:
+        low, high = t.column("low")[0].as_py(), t.column("high")[0].as_py()
+        own, docs, root = (t.column(c).to_numpy() for c in ("i", "doc_id", "root"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(-1, ROWS)
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        found = []
+        for at in range(0, len(left), 256):
+            some = left[at : at + 256]
+            same = np.zeros((len(some), len(right)), np.uint8)
+            for k in range(ROWS):
+                same += sig[some, k][:, None] == sig[right, k][None]
+            x, y = np.nonzero((same >= least) & (root[some][:, None] != root[right][None]))
+            x, y = docs[some[x]], docs[right[y]]
+            found.append(np.stack([np.maximum(x, y), np.minimum(x, y)]))
+        pairs = np.concatenate(found, 1) if found else np.zeros((2, 0), np.int64)
+        return pa.table([pa.array(pairs[0]), pa.array(pairs[1])], shape)
+
+    ship(rows.sparkSession)
+    return rows.groupBy("key", "low", "high").applyInArrow(run, "a long, b long").distinct()
+
+
+def linked(sigs: DataFrame, docs: DataFrame, least: float = 0.8, *, likely: float = 0.5) -> DataFrame:
+    """Verified pairs (a, b, containment) that join all bucket mates which any links join."""
+    bucketed = written(met(sigs))
+    first = _agreement(bucketed.select("a", "b").distinct(), sigs).where(F.col("est") >= likely).select("a", "b")
+    links = written(verified(first, docs, least))
+    more = written(across(bucketed, sigs, written(components(links)), likely=likely))
+    if not more.head(1):
+        return links
+    return links.unionByName(verified(more, docs, least))
 
 
 def verified(pairs: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame:
@@ -201,7 +212,7 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     member = written(one.join(copies, ["h1", "h2"]).select("doc_id", "rep", "n_shingles"))
     texts = sigs.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
     texts = written(texts.select("doc_id", "n_shingles", "sig", "keys"))
-    links = written(verified(candidates(texts), docs, least))
+    links = written(linked(texts, docs, least))
     roots = components(links)
     n = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("n_links"))
     out = member.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(n, "rep", "left")

@@ -256,3 +256,16 @@ def test_pipeline_stages(spark):
         assert out.count() <= at.count()
         at = out
     assert C.run(spark, SF).count() == at.count() > 0
+
+
+def test_links_that_are_not_transitive(spark):
+    """A links to B and to C, B and C don't link, and B is the smallest: all three are one class."""
+    rng, text = random.Random(11), []
+    for _ in range(60):
+        w = prose(rng, 124).split()
+        text += [prose(rng, 8).split() + w[8:], w, w[:104] + prose(rng, 20).split()]
+    sets = [shingles(" ".join(t)) for t in text]
+    linked = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * max(len(sets[a]), len(sets[b]))
+    assert all(linked(i, i + 1) and linked(i + 1, i + 2) and not linked(i, i + 2) for i in range(0, 180, 3))
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(text)], "doc_id long, text string")).collect()}
+    assert got == {i: i - i % 3 for i in range(180)}
