@@ -207,8 +207,10 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame
 def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     """doc_id, class_id (the smallest doc_id of its class), n_shingles, n_links (verified links of its text to other texts)."""
     sigs = written(signed(docs))
-    copies = sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
+    wordless = F.col("n_shingles") == 0
     one = sigs.groupBy("doc_id").agg(F.min_by(F.struct("h1", "h2", "n_shingles"), F.struct("h1", "h2")).alias("x")).select("doc_id", "x.*")
+    sigs, one = (x.withColumns({h: F.when(wordless, 0).otherwise(F.col(h)) for h in ("h1", "h2")}) for x in (sigs, one))
+    copies = sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
     member = written(one.join(copies, ["h1", "h2"]).select("doc_id", "rep", "n_shingles"))
     texts = sigs.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
     texts = written(texts.select("doc_id", "n_shingles", "sig", "keys"))

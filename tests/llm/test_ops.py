@@ -269,3 +269,9 @@ def test_links_that_are_not_transitive(spark):
     assert all(linked(i, i + 1) and linked(i + 1, i + 2) and not linked(i, i + 2) for i in range(0, 180, 3))
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(text)], "doc_id long, text string")).collect()}
     assert got == {i: i - i % 3 for i in range(180)}
+
+
+def test_texts_without_words_are_one_class(spark):
+    rows = [(5, " "), (3, None), (4, ""), (8, "\n\n"), (2, "some words are here now"), (9, " \t"), (None, " ")]
+    got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {2: 2, 3: 3, 4: 3, 5: 3, 8: 3, 9: 3}
