@@ -275,3 +275,14 @@ def test_texts_without_words_are_one_class(spark):
     rows = [(5, " "), (3, None), (4, ""), (8, "\n\n"), (2, "some words are here now"), (9, " \t"), (None, " ")]
     got = {r.doc_id: r.class_id for r in neardup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {2: 2, 3: 3, 4: 3, 5: 3, 8: 3, 9: 3}
+
+
+def test_image_pair_whose_buckets_have_strangers_as_smallest(spark):
+    """Strangers with smaller ids share two corners each with both pictures, and are the smallest in all their buckets."""
+    rng = np.random.default_rng(4)
+    spots = lambda n: np.concatenate([rng.uniform(0, 200, (n, 2)), np.ones((n, 1)), np.zeros((n, 1))], 1).astype(np.float32)
+    place, look = spots(40), rng.integers(0, 256, (40, 32), np.uint8)
+    rows = [(i, spots(40), np.concatenate([look[2 * i : 2 * i + 2], rng.integers(0, 256, (38, 32), np.uint8)])) for i in range(20)]
+    rows += [(50, place, look), (60, place, look)]
+    d = spark.createDataFrame([(i, bytearray(p.tobytes()), bytearray(w.tobytes())) for i, p, w in rows], "id long, spots binary, words binary")
+    assert [(r.a, r.b, r.n_agree) for r in media.links(d).collect()] == [(60, 50, 40)]
