@@ -286,3 +286,12 @@ def test_image_pair_whose_buckets_have_strangers_as_smallest(spark):
     rows += [(50, place, look), (60, place, look)]
     d = spark.createDataFrame([(i, bytearray(p.tobytes()), bytearray(w.tobytes())) for i, p, w in rows], "id long, spots binary, words binary")
     assert [(r.a, r.b, r.n_agree) for r in media.links(d).collect()] == [(60, 50, 40)]
+
+
+def test_half_size_and_quarter_area_copies(spark):
+    rng, rows = np.random.default_rng(2), []
+    for i in range(3):
+        px = np.clip(media.resized(rng.normal(128, 60, (25, 25)).astype(np.float32), 256, 256) + media.resized(rng.normal(0, 25, (85, 85)).astype(np.float32), 256, 256), 0, 255)
+        rows += [(i, media.write_pgm(px)), (10 + i, media.write_pgm(media.resized(px, 128, 128))), (20 + i, media.write_pgm(px[64:192, 64:192]))]
+    got = {r.id: r.class_id for r in media.classes(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got == {i: i % 10 for i, _ in rows}
