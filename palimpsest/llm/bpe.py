@@ -8,13 +8,12 @@ The ids are those of merging by ranks. A vocabulary entry that merging never rea
 
 Nulls count as empty text and give no ids. Rows pass one by one: repeated rows, extra columns and any lengths are as good
 as others. Texts are cut at the spaces between words, where no piece of the pattern reaches across; cut-outs are
-remembered in a dictionary of bounded size.
+remembered in a dictionary of bounded size. A pattern that isn't known to allow such cuts is applied to whole texts.
 """
 
 from __future__ import annotations
 
 import base64
-import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -23,16 +22,41 @@ from pathlib import Path
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import HASHES, blocks, map_arrow
 
-_WIDE = "\t-\r\x1c-\x1f \x85\xa0 ᠎ -​    ⁠　﻿"
-#: White space other than single blanks and line ends: then the careful way is taken.
-_ODD = re.compile(f"[{_WIDE.replace(chr(32), '').replace(chr(9) + '-' + chr(13), chr(9) + chr(11) + chr(12) + chr(13))}]|[ \n]{{2}}")
-_CUTS = re.compile(f"(?<=[^{_WIDE}])(?=[ \t-\r])")
+#: White space that isn't ASCII, or that ASCII rules don't count: before a cut it would change what the pattern takes.
+_WIDE = [c.encode() for c in "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"]
+_WIDE2 = np.array([int.from_bytes(w) for w in _WIDE if len(w) == 2], np.uint32)
+_WIDE3 = np.array([int.from_bytes(w) for w in _WIDE if len(w) == 3], np.uint32)
+
+
+_PUNCT = np.isin(np.arange(256), [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)])
+#: Patterns no piece of which goes on from what isn't white space to white space, or from a letter to a sign.
+CUTTABLE = frozenset([r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""])
+
+
+def cut_starts(offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    """Where cut-outs begin in the bytes of texts laid end to end: at each text's start, at each ASCII white space behind
+    something that isn't white space of any kind, and at each ASCII sign behind a letter (of ASCII or Latin-1)."""
+    space = (data == 32) | (data - np.uint8(9) < 5)
+    cut = np.zeros(len(data) + 1, bool)
+    np.greater(space[1:], space[:-1], out=cut[1:-1])
+    odd = np.flatnonzero(cut[1:-1] & ((data[:-1] >= 0x80) | (data[:-1] - np.uint8(0x1C) < 4))) + 1
+    if len(odd):
+        at = lambda back: data[np.maximum(odd - back, 0)].astype(np.uint32)
+        two = at(2) << 8 | at(1)
+        cut[odd] = ~((at(1) < 0x80) | np.isin(two, _WIDE2) | np.isin(at(3) << 16 | two, _WIDE3))
+    sign = np.flatnonzero(_PUNCT[data[1:]]) + 1
+    before, lead = data[sign - 1], data[np.maximum(sign - 2, 0)]
+    latin = (lead == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)
+    cut[sign[((before | 32) - np.uint8(97) < 26) | latin]] = True
+    cut[offsets] = True
+    return np.flatnonzero(cut[:-1])
 
 
 def _pack(ids: list[int]) -> bytes:
@@ -43,31 +67,42 @@ def _pack(ids: list[int]) -> bytes:
 
 
 class Cuts(dict):
-    """Encodes text by cut-outs (white space and the word behind it), each looked up in this dictionary.
+    """Encodes texts by cut-outs (white space and the word behind it, or signs), each looked up in this dictionary once per block.
 
-    Keys stand for a blank and the word, or for a word with a line end before it.
+    encode: the packed ids of one cut-out. Whether a pattern may be cut so is up to the caller: no piece of it may reach
+    across the places of cut_starts, as is true of public_tokenizers.PATTERN.
     """
 
     def __init__(self, encode, most: int = 350_000):
         super().__init__()
         self._encode, self._most = encode, most
 
-    def __missing__(self, key: str) -> bytes:
-        ids = self._encode(key if key[:1] == "\n" else " " + key)
-        if len(key) <= 48:
-            if len(self) >= self._most:
-                self.clear()
-            self[key] = ids
-        return ids
-
-    def text(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if _ODD.search(text):
-            parts = _CUTS.split(text)
-            return self._encode(parts[0]) + b"".join([self[p[1:]] if p[0] == " " and p[1:2] not in "\n" else self[p] if p[0] == "\n" else self._encode(p) for p in parts[1:]])
-        head, *rest = text.replace("\n", " \n").split(" ")
-        return (self._encode(head) if head else b"") + b"".join(map(self.__getitem__, rest))
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts end to end, and where each text's begin and the last one's end."""
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+        raw = column.buffers()[2]
+        if raw is None or not len(column) or offsets[0] == offsets[-1]:
+            return np.zeros(0, "<u4"), np.zeros(len(column) + 1, np.int64)
+        base = int(offsets[0])
+        data = np.frombuffer(raw, np.uint8)[base : offsets[-1]]
+        starts = cut_starts(offsets - base, data)
+        edges = pa.py_buffer(np.append(starts, len(data)) + base)
+        found = pa.LargeStringArray.from_buffers(len(starts), edges, raw).dictionary_encode()
+        keys = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        made = list(map(self.get, keys))
+        missing = [i for i, m in enumerate(made) if m is None]
+        if len(self) + len(missing) > self._most:
+            self.clear()
+        for i in missing:
+            k = keys[i]
+            made[i] = ids = self._encode(k)
+            if len(k) <= 48 and len(self) < self._most:
+                self[k] = ids
+        taken = pa.array(made, pa.large_binary()).take(found.indices)
+        ends = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1]
+        ids = np.frombuffer(taken.buffers()[2], "<u4", int(ends[-1]) // 4) if ends[-1] else np.zeros(0, "<u4")
+        return ids, ends[np.searchsorted(starts, offsets - base)] // 4
 
 
 class BytePairs:
@@ -76,7 +111,7 @@ class BytePairs:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ids = ranks
         self.split_text = regex.compile(pattern).findall
-        self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
+        self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for t, i in ranks.items():
             self.tokens[i] = t
         # From here on a token goes by its place in merge order, single bytes first.
@@ -89,6 +124,7 @@ class BytePairs:
         self._fits: dict[int, bool] = {}
         self._pieces: dict[str, bytes] = {}
         self._shorter: list[int] = []
+        self._arrow: pa.Array | None = None
         self._auto = ahocorasick.Automaton()
         for k, t in enumerate(order):
             self._halves.append((k, k))
@@ -111,24 +147,26 @@ class BytePairs:
     def _reached(self, k: int) -> bool:
         return self._len[k] == 1 or self._halves[k][0] != k
 
-    def _beside(self, a: int, b: int) -> bool:
-        """Whether merging in order leaves a boundary between tokens a and b: undoes merges on both sides, the latest first."""
-        limit = len(self._id) + 1
+    def _spine(self, k: int, side: int) -> list[tuple[int, int]]:
+        """The parts of token k that reach its left (0) or right (1) end, each with the merge that takes it up."""
+        out, until = [], len(self._id)
         while True:
-            if self._pair.get((a, b), limit) < limit:
-                return False
-            if a > b:
-                limit, a = a, self._halves[a][1]
-                if a == limit:
-                    limit, b = b + 1, self._halves[b][0]
-                    if b + 1 == limit:
-                        return True
-            else:
-                limit, b = b + 1, self._halves[b][0]
-                if b + 1 == limit:
-                    limit, a = a, self._halves[a][1]
-                    if a == limit:
-                        return True
+            out.append((k, until))
+            inner = self._halves[k][side]
+            if inner == k:
+                return out
+            k, until = inner, k
+
+    def _beside(self, a: int, b: int) -> bool:
+        """Whether merging in order leaves the boundary between tokens a and b alone. A merge across it would join a part
+        at a's right end and one at b's left end while neither has been taken up; of equal merges the left one comes first."""
+        right = self._spine(b, 0)
+        for x, until_x in self._spine(a, 1):
+            for y, until_y in right:
+                r = self._pair.get((x, y))
+                if r is not None and r < until_x and r <= until_y:
+                    return False
+        return True
 
     def piece(self, raw: bytes) -> list[int]:
         """Ids of one piece of the pattern."""
@@ -182,15 +220,30 @@ class BytePairs:
             out.append(ids)
         return b"".join(out)
 
+    def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """As Cuts.texts, without cuts: for any pattern."""
+        made = [np.frombuffer(self.packed(t or ""), "<u4") for t in column.to_pylist()]
+        return np.concatenate([np.zeros(0, "<u4"), *made]), np.concatenate(([0], np.cumsum([len(m) for m in made], dtype=np.int64)))
+
     def encode(self, text: str) -> list[int]:
         return np.frombuffer(self.packed(text), "<u4").tolist()
 
     def decode(self, ids) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
 
-    def unpacked(self, packed: bytes) -> bytes:
-        ids = np.frombuffer(packed, "<u4")
-        return b"".join(self.decode(ids[i : i + 1_000_000].tolist()) for i in range(0, len(ids), 1_000_000))
+    def decoded(self, ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+        """The bytes of each stretch of ids between two ends."""
+        if self._arrow is None:
+            self._arrow = pa.array(self.tokens, pa.large_binary())
+        taken = self._arrow.take(pa.array(ids))
+        at = np.frombuffer(taken.buffers()[1], np.int64)[taken.offset : taken.offset + len(taken) + 1] if len(ids) else np.zeros(1, np.int64)
+        return stretches(taken.buffers()[2], at[ends])
+
+
+def stretches(raw, ends: np.ndarray) -> pa.Array:
+    """A binary column of the stretches of a buffer between ends."""
+    ends = np.ascontiguousarray(ends, np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), raw if raw is not None else pa.py_buffer(b"")]).cast(pa.binary())
 
 
 _READY: dict[tuple, tuple[BytePairs, Cuts]] = {}
@@ -218,8 +271,8 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, *, text: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pairs, cuts = _ready(sent.value, pattern)
         for b in blocks(batches, text):
-            ids = [cuts.text(t) for t in b.column(text).to_pylist()]
-            made = [pa.array(ids, pa.binary())] + ([pa.array([pairs.unpacked(x) for x in ids], pa.binary())] if decode else [])
+            ids, ends = cuts.texts(b.column(text)) if pattern in CUTTABLE else pairs.texts(b.column(text))
+            made = [stretches(pa.py_buffer(ids), 4 * ends)] + ([pairs.decoded(ids, ends)] if decode else [])
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *made], names=shape.names)
 
     return map_arrow(docs.select(*rest, text), run, shape)

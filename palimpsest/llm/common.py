@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
@@ -26,19 +27,25 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder's name below spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary folder is made."""
+    """A new folder's name below spark.checkpoint.dir. Where that is unset, a temporary folder is made if all runs on one
+    machine; on a cluster that is an error, as executors wouldn't see it."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir isn't set: intermediate tables need a folder that all executors share")
         own = tempfile.mkdtemp(prefix="palimpsest-")
         atexit.register(shutil.rmtree, own, True)
         root = f"file://{own}"
     return f"{root.rstrip('/')}/palimpsest-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, *, compression: str = "zstd") -> DataFrame:
-    """The frame as a table in the shared folder: lineage ends here, and a lost executor costs no rerun of what came before."""
+def written(df: DataFrame, *, compression: str = "zstd", **options: str) -> DataFrame:
+    """The frame as a table in the shared folder: lineage ends here, and a lost executor costs no rerun of what came before.
+    The table is deleted when the application ends."""
     path = shared_folder(df.sparkSession)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
+    at = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -104,7 +111,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, computed once per word; emptied when it has grown large, so memory stays bounded."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 500_000):
         super().__init__()
         self._most = most
 
@@ -121,6 +128,14 @@ class WordHashes(dict):
 
 
 HASHES = WordHashes()
+
+
+def word_hashes(found: list[bytes]) -> np.ndarray:
+    """Functions sent to workers must call this, not HASHES: they take along a copy of what they name, and only a module's
+    own functions find the dictionary that the worker keeps from task to task."""
+    return HASHES.of(found)
+
+
 _ODDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
 

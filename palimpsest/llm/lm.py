@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, batch, blocks, map_arrow, mix, words, written
+from .common import batch, blocks, map_arrow, mix, word_hashes, words, written
 
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 SCALE = 20.0  # codes a decade
@@ -213,7 +213,7 @@ def blocked(docs: DataFrame, block_tokens: int = 2_000_000) -> DataFrame:
         for x in blocks(batches, "text"):
             for i, t in zip(x.column("doc_id").to_pylist(), x.column("text").to_pylist(), strict=True):
                 ids.append(i)
-                held.append(np.append(HASHES.of(words(t)), END))
+                held.append(np.append(word_hashes(words(t)), END))
                 size += len(held[-1])
                 if size >= block_tokens:
                     yield shut()

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, batch, blocks, components, map_arrow, mix, only, shingle_hashes, ship, words, written
+from .common import batch, blocks, components, map_arrow, mix, only, shingle_hashes, ship, word_hashes, words, written
 
 ROWS = 96
 WIDTH = 1.25
@@ -101,7 +101,7 @@ def signed(docs: DataFrame) -> DataFrame:
 
         for b in blocks(batches, "text", 4 << 20):
             texts = b.column("text").to_pylist()
-            sets = [np.unique(shingle_hashes(HASHES.of(words(t)))) for t in texts]
+            sets = [np.unique(shingle_hashes(word_hashes(words(t)))) for t in texts]
             sigs = _signatures(sets)
             keys, whole = [], [xxhash.xxh3_128_digest((t or "").encode("utf-8", "surrogatepass")) for t in texts]
             for s, sig in zip(sets, sigs, strict=True):
@@ -193,8 +193,8 @@ def verified(pairs: DataFrame, docs: DataFrame, least: float = 0.8) -> DataFrame
                 out = []
                 for a, b, ta, tb in zip(*(x.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")), strict=True):
                     if b != last:
-                        last, held = b, np.unique(shingle_hashes(HASHES.of(words(tb))))
-                    s = np.unique(shingle_hashes(HASHES.of(words(ta))))
+                        last, held = b, np.unique(shingle_hashes(word_hashes(words(tb))))
+                    s = np.unique(shingle_hashes(word_hashes(words(ta))))
                     most = max(len(s), len(held))
                     c = len(np.intersect1d(s, held, assume_unique=True)) / most if most else 1.0
                     if c >= least - 1e-12:

@@ -28,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import HASHES, batch, blocks, map_arrow, mix, one_per_id, shingle_hashes, without, written
+from .common import batch, blocks, map_arrow, mix, one_per_id, shingle_hashes, without, word_hashes, written
 
 ROWS = 2
 SEGMENT_BITS = 20
@@ -103,7 +103,7 @@ def _first_pass(docs: DataFrame, bits: int, window: int) -> DataFrame:
                 n.append(len(found))
                 hashes.append(xxhash.xxh3_128_digest(b" ".join(found)))
                 if len(found) >= window:
-                    m, at = anchors(HASHES.of(found), window)
+                    m, at = anchors(word_hashes(found), window)
                     held.append(m[at[np.flatnonzero(np.diff(at, prepend=-1))]])
                     size += len(held[-1])
             none = [None] * len(n)
@@ -202,7 +202,7 @@ def _second_pass(docs: DataFrame, sent, bits: int, window: int) -> DataFrame:
                 found = split_words(t)
                 if len(found) < window:
                     continue
-                h = HASHES.of(found)
+                h = word_hashes(found)
                 m, at = anchors(h, window)
                 marks = np.flatnonzero(np.diff(at, prepend=-1))
                 yes = np.repeat(sketch.repeated(m[at[marks]]), np.diff(np.append(marks, len(at))))
