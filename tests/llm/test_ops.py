@@ -295,3 +295,50 @@ def test_half_size_and_quarter_area_copies(spark):
         rows += [(i, media.write_pgm(px)), (10 + i, media.write_pgm(media.resized(px, 128, 128))), (20 + i, media.write_pgm(px[64:192, 64:192]))]
     got = {r.id: r.class_id for r in media.classes(spark.createDataFrame(rows, "id long, image binary")).collect()}
     assert got == {i: i % 10 for i, _ in rows}
+
+
+def test_secrets_in_texts_with_very_many(spark):
+    """Places and redaction in time that doesn't go with the square of the matches; spans side by side and overlapping."""
+    n, model = 100_000, secrets.trained(spark.createDataFrame([], DOCS))
+    one = 'é password="abcdefghijkl" '
+    got = secrets.scanned(spark.createDataFrame([(1, one * n)], "doc_id long, text string"), model).selectExpr("size(spans) AS n", "spans[0] AS a", f"spans[{n - 1}] AS b").first()
+    assert got.n == n and (got.a.start, got.a.end) == (2, 24) and got.b.start == len(one) * (n - 1) + 2
+    clean = secrets.redacted(spark.createDataFrame([(1, one * n), (2, "x" + "deadbeef" * 2 + "y password=" + "0123456789abcdef" + "!"), (3, one * 101)], "doc_id long, text string")).collect()
+    assert [r.text for r in clean] == ['é [SECRET]" ' * n, "x[SECRET]y [SECRET]!", 'é [SECRET]" ' * 101]
+
+
+def test_random_strings_told_from_identifiers(spark):
+    """Strings that the models weren't trained on: random ones of 20 signs with a digit, and names put together from words."""
+    rng = random.Random(8)
+    signs = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    noise = ["7" + "".join(rng.choice(signs) for _ in range(19)) for _ in range(300)]
+    vocabulary = "river stone window garden market letter number signal matter corner" .split()
+    names = ["_".join(rng.sample(vocabulary, 3)) + str(rng.randrange(100)) for _ in range(300)]
+    train = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [(i, f"see {x} here") for i, x in enumerate(noise + names)]
+    found = {r.doc_id for r in secrets.scanned(spark.createDataFrame(rows, "doc_id long, text string"), secrets.trained(train)).where("exists(spans, x -> x.kind = 3)").collect()}
+    assert len(found & set(range(300))) >= 285 and len(found & set(range(300, 600))) <= 3
+
+
+def test_mined_rules_against_all_subsets(spark):
+    """Which URLs rules fit, against every set of tokens with the support and confidence; deep paths don't explode."""
+    rng = random.Random(6)
+    made = [f"http://{rng.choice(['a', 'b', 'c'])}.{rng.choice(['com', 'net'])}/{rng.choice(['win', 'news', 'x'])}/{rng.choice(['p', 'q'])}?{rng.choice(['id', 'ref', 'z'])}=1" for _ in range(300)]
+    bad = [("/win/" in u and "ref=" in u) or ("b.net" in u and rng.random() < 0.9) for u in made]
+    pages = spark.createDataFrame([(i, u, 0) for i, u in enumerate(made)] + [(1000, None, 0), (1001, "http://b.net/new?x", 0)], "page_id long, url string, size int")
+    labels = spark.createDataFrame([(i, 1 - b, None) for i, b in enumerate(bad)], "doc_id long, quality int, toxic int")
+    of = lambda u: {f"host:{x}" for x in u.split("/")[2].split(".")} | {f"path:{x}" for x in u.split("?")[0].split("/")[3:]} | {"name:" + u.split("?")[1].split("=")[0]}
+    seen, hits = Counter(), Counter()
+    for u, b in zip(made, bad, strict=True):
+        t = sorted(of(u))
+        for k in range(1, 1 << len(t)):
+            s = frozenset(x for j, x in enumerate(t) if k >> j & 1)
+            seen[s] += 1
+            hits[s] += b
+    rules = [s for s in seen if hits[s] >= 10 and hits[s] >= 0.8 * seen[s]]
+    want = {u for u in [*made, "http://b.net/new?x"] if any(r <= of(u) for r in rules)}
+    assert 0 < len(want) < len(set(made)) + 1
+    assert {r.url for r in urls.fitting(pages, urls.mined(pages, labels)).collect()} == want
+    deep = [(i, f"http://h{i % 2}.net/" + "/".join(f"p{j}" for j in range(60 if i % 3 else 30 + i)), 0) for i in range(60)]
+    got = urls.judged(spark.createDataFrame(deep, pages.schema), spark.createDataFrame([(i, int(i % 2 == 0), None) for i in range(60)], labels.schema)).collect()
+    assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
