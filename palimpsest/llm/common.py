@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: A side of a join is broadcast only after a count shows that it has no more rows than this (of a few numbers each).
 BROADCAST_ROWS = 500_000
+#: And whose strings have no more bytes in all than this.
+BROADCAST_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,9 +56,12 @@ def few(df: DataFrame, most: int = BROADCAST_ROWS) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def checked(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """With a broadcast hint if it is small enough by count; else as it is, for a join by shuffle."""
-    return F.broadcast(df) if few(df, most) else df
+def checked(df: DataFrame, most: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """With a broadcast hint if it is small enough by rows and by the bytes of its strings and binaries; else as it is, for
+    a join by shuffle. Other columns must be single numbers."""
+    long = [F.coalesce(F.octet_length(F.col(f"`{c}`")).cast("long"), F.lit(0)) for c, kind in df.dtypes if kind in ("string", "binary")]
+    n, size = df.limit(most + 1).agg(F.count("*"), F.coalesce(F.sum(sum(long, F.lit(0))), F.lit(0))).first()
+    return F.broadcast(df) if n <= most and size <= most_bytes else df
 
 
 def one_per_id(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
