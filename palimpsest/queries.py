@@ -5,11 +5,15 @@ events are a version log: key user_id, time ts, order event_id, value event_type
 
 from __future__ import annotations
 
+import datetime
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .engine import Engine, Options
 from .operators import aggregates as A
 from .operators import compact as C
 from .operators.history import version_history
@@ -40,8 +44,8 @@ def runs_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def runs_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata of 40 runs that cover parts of the key range: by hour of the day and half of the users."""
-    v = versions(spark, sf_dir).withColumn("run_id", F.hour("ts") * 2 + F.col("key") % 2).where(F.col("key") % 24 == F.hour("ts"))
+    """Metadata of runs that cover parts of the key range: all events, by stretches of 40 keys and hour of the day."""
+    v = versions(spark, sf_dir).withColumn("run_id", F.floor(F.col("key") / 40) * 24 + F.hour("ts"))
     return A.run_stats(v, size=F.octet_length("value") + 8)
 
 
@@ -200,8 +204,7 @@ def total_entries_q(spark, d):
 
 
 def groups_q(spark, d):
-    r = runs_table(spark, d).select("run_id", (F.col("run_id") * 10).alias("min_key"), (F.col("run_id") * 10 + F.when(F.col("run_id") % 3 == 0, 12).otherwise(4)).alias("max_key"))
-    return C.key_range_groups(r).select("run_id", "group_id")
+    return C.key_range_groups(runs_table(spark, d)).select("run_id", "group_id")
 
 
 def oldest_q(spark, d):
@@ -221,6 +224,61 @@ def composed(spark, d):
     return c.join(snap, "key").groupBy("c_mktsegment", "value").agg(F.count("*").alias("n"))
 
 
+def _folder(spark) -> str:
+    """A new folder's name for a store: below spark.checkpoint.dir, or where that is unset on one machine a temporary one."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir isn't set: a store needs a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='palimpsest-')}"
+    return f"{root.rstrip('/')}/store-{uuid.uuid4().hex}"
+
+
+def _store_log(spark, d):
+    return versions(spark, d).select(F.col("key").cast("string").cast("binary").alias("key"), F.col("value").cast("binary").alias("value"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), "seq", F.col("op").cast("tinyint").alias("op"))
+
+
+def _at() -> int:
+    return int(datetime.datetime.fromisoformat(AS_OF).replace(tzinfo=datetime.UTC).timestamp() * 1_000_000)
+
+
+def store_compacted(spark, d):
+    """The events through a store: four appended runs, three of them merged within retain_after, reopened, read at a past time."""
+    root, log = _folder(spark), _store_log(spark, d)
+    with Engine(spark, root, Options(retain_after=_at())) as db:
+        runs = [db.append(log.where(F.col("seq") % 4 == i)) for i in range(4)]
+        db.compact(runs[:3], 2)
+    return Engine(spark, root).snapshot(_at()).select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def store_range(spark, d):
+    """A transaction's range over a flushed run, an appended one, an overlay and a rolled-back transaction."""
+    db = Engine(spark, _folder(spark))
+    db.append(_store_log(spark, d))
+    with db.update() as t:
+        t.put("1000000", "committed")
+        t.delete("10")
+    db.force_flush()
+    lost = db.begin()
+    lost.put("11", "rolled back")
+    lost.rollback()
+    t = db.begin()
+    t.put("12", "own")
+    return t.range("1", "13").select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def store_recovered(spark, d):
+    """What a reopened store has from its log: committed, rolled back and unfinished transactions of each user."""
+    root = _folder(spark)
+    db = Engine(spark, root)
+    for i in range(6):
+        t = db.begin()
+        t.put(f"k{i}", f"v{i}")
+        t.save() if i % 3 == 1 else t.commit() if i % 3 == 0 else t.rollback()
+    db.close()
+    return Engine(spark, root).snapshot().select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
 _V = "(SELECT user_id AS key, event_type AS value, ts, event_id AS seq, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS op, event_id % 4 AS run_id FROM events)"
 
 
@@ -228,7 +286,7 @@ def _newest(where: str = "true") -> str:
     return f"(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts DESC, seq DESC) AS rn FROM {_V} v WHERE {where}) WHERE rn = 1)"
 
 
-_R = "(SELECT hour(ts) * 2 + user_id % 2 AS run_id, min(user_id) AS min_key, max(user_id) AS max_key, count(*) AS entry_count, sum(strlen(event_type) + 8) AS size_bytes, max(ts) AS max_ts FROM events WHERE user_id % 24 = hour(ts) GROUP BY 1)"
+_R = "(SELECT user_id // 40 * 24 + hour(ts) AS run_id, min(user_id) AS min_key, max(user_id) AS max_key, count(*) AS entry_count, sum(strlen(event_type) + 8) AS size_bytes, max(ts) AS max_ts FROM events GROUP BY 1)"
 _T = f"TIMESTAMP '{AS_OF}'"
 _OV = "(VALUES (1, 'mine', 0), (2, NULL, 1), (3, NULL, 1), (4, 'back', 0), (-7, 'new', 0)) o(key, value, op)"
 _FOLD = """(WITH r AS (SELECT event_id // 10 AS txn_id, event_id AS pos, CAST(user_id AS VARCHAR) AS key, event_type, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS op FROM events),
@@ -269,9 +327,12 @@ _ALL: dict[str, tuple[Callable, str | None]] = {
     "q26_run_overlap_pairs": (overlap_q, f"SELECT a.run_id AS run_a, b.run_id AS run_b FROM {_R} a JOIN {_R} b ON a.run_id < b.run_id AND a.max_key >= b.min_key AND a.min_key <= b.max_key"),
     "q27_level_score": (level_score, f"SELECT run_id % 3 + 1 AS level, CAST(sum(size_bytes) AS BIGINT) AS size_bytes, count(*) AS run_count, CAST(sum(size_bytes) AS DOUBLE) / (1000.0::DOUBLE * pow(10.0::DOUBLE, run_id % 3)) * 0.8::DOUBLE + count(*) / 8 * 0.2::DOUBLE AS score FROM {_R} GROUP BY run_id % 3"),
     "q27b_total_entries": (total_entries_q, f"SELECT CAST(sum(entry_count) AS BIGINT) AS total_entries FROM {_R}"),
-    "q28_key_range_groups": (groups_q, f"SELECT run_id, CAST(sum(n) OVER (ORDER BY run_id) AS BIGINT) AS group_id FROM (SELECT run_id, CASE WHEN run_id * 10 > lag(run_id * 10 + CASE WHEN run_id % 3 = 0 THEN 12 ELSE 4 END) OVER (ORDER BY run_id) THEN 1 ELSE 0 END AS n FROM {_R})"),
+    "q28_key_range_groups": (groups_q, f"SELECT run_id, CAST(sum(n) OVER (ORDER BY min_key, run_id) AS BIGINT) AS group_id FROM (SELECT run_id, min_key, CASE WHEN min_key > lag(max_key) OVER (ORDER BY min_key, run_id) THEN 1 ELSE 0 END AS n FROM {_R})"),
     "q29_oldest_until_target": (oldest_q, f"SELECT run_id, CAST(size_bytes AS BIGINT) AS size_bytes, max_ts FROM (SELECT *, coalesce(sum(size_bytes) OVER (ORDER BY max_ts, run_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(size_bytes) OVER () AS total FROM {_R}) WHERE before < total * 0.2"),
     "q30_size_tiered_pick": (size_tiered_q, None),
+    "q32_store_compacted": (store_compacted, f"SELECT CAST(key AS VARCHAR) AS key, value FROM {_newest(f'ts <= {_T}')} WHERE op = 0"),
+    "q33_store_range": (store_range, f"SELECT * FROM (SELECT CAST(key AS VARCHAR) AS key, value FROM {_newest()} WHERE op = 0 AND key NOT IN (10, 12, 1000000) UNION ALL VALUES ('1000000', 'committed'), ('12', 'own')) WHERE key >= '1' AND key < '13'"),
+    "q34_store_recovered": (store_recovered, "SELECT * FROM (VALUES ('k0', 'v0'), ('k3', 'v3')) t(key, value)"),
     "q31_snapshot_join": (composed, f"SELECT c_mktsegment, value, count(*) AS n FROM customer JOIN (SELECT * FROM {_newest(f'ts <= {_T}')} WHERE op = 0) s ON s.key = c_custkey GROUP BY 1, 2"),
 }
 
