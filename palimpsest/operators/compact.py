@@ -27,8 +27,7 @@ def retain(log: DataFrame, retain_after: int | None, *, key: str = "key", ts: st
     """
     if retain_after is None:
         return log
-    newest_first = Window.partitionBy(key, F.col(ts) > retain_after).orderBy(F.col(ts).desc(), F.col(seq).desc())
-    return log.withColumn("_rn", F.row_number().over(newest_first)).where((F.col(ts) > retain_after) | (F.col("_rn") == 1)).drop("_rn")
+    return log.where(F.col(ts) > retain_after).unionByName(resolve(log, retain_after, key=key, ts=ts, seq=seq).select(log.columns))
 
 
 def drop_tombstones(merged: DataFrame, others: DataFrame | None = None, *, key: str = "key", op: str = "op", bounds: Sequence[tuple] | None = None) -> DataFrame:
@@ -46,12 +45,10 @@ def drop_tombstones(merged: DataFrame, others: DataFrame | None = None, *, key:
 
 
 def overlap_pairs(runs: DataFrame, *, run: str = "run_id") -> DataFrame:
-    """Pairs of runs with overlapping key ranges, by a sweep over the bounds.
-
-    Runs that start at or before another's start and end at or after it; the running maximum of max_key tells first
-    whether a run overlaps any earlier one at all, so that disjoint runs never meet.
-    """
+    """Pairs of runs with overlapping key ranges: a nested loop over metadata, whose one side is broadcast if a count allows."""
     a, b = runs.select(F.col(run).alias("run_a"), F.col("min_key").alias("a_min"), F.col("max_key").alias("a_max")), runs.select(F.col(run).alias("run_b"), F.col("min_key").alias("b_min"), F.col("max_key").alias("b_max"))
+    if b.limit(100_001).count() <= 100_000:
+        b = F.broadcast(b)
     return a.join(b, (F.col("run_a") < F.col("run_b")) & (F.col("a_max") >= F.col("b_min")) & (F.col("a_min") <= F.col("b_max"))).select("run_a", "run_b")
 
 

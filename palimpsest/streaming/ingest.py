@@ -10,14 +10,12 @@ from ..schema import WAL
 
 
 def ingest(stream: DataFrame, engine: Engine, checkpoint: str, *, trigger: dict | None = None) -> StreamingQuery:
-    """stream: rows (key, value, op[, ts, seq]). A batch that is run again after a failure is written once: its id is kept in the log of batches."""
+    """stream: rows (key, value, op[, ts, seq]). A batch that is run again after a failure is written once, as its number is
+    published in the same state of the manifest as its rows. The checkpoint's path names the stream."""
 
     def one(batch: DataFrame, batch_id: int) -> None:
-        name = f"batches/{batch_id:012d}.json"
-        if engine.files.exists(name):
-            return
-        engine.append(batch)
-        engine.files.write(name, "{}")
+        if engine.manifest.batches.get(checkpoint, -1) < batch_id:
+            engine.append(batch, batch=(checkpoint, batch_id))
         engine.compact_if_needed()
 
     return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

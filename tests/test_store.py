@@ -248,3 +248,73 @@ def test_bulk_load_and_multi_get(spark, store):
         asked = spark.createDataFrame([(b"5",), (b"6",), (b"7",), (b"x",)], "key binary")
         got = {bytes(r.key): (r.value and bytes(r.value), r.found) for r in t.multi_get(asked).collect()}
     assert got == {b"5": (b"mine", True), b"6": (None, False), b"7": (b"v7", True), b"x": (None, False)}
+
+
+def test_rolled_back_recovered_transaction_stays_away(spark, tmp_path):
+    root = f"file://{tmp_path}/db"
+    with Engine(spark, root) as e:
+        t = e.begin()
+        t.put("a", "1")
+        t.save()
+    with Engine(spark, root, Options(recover_uncommitted=True)) as e:
+        (t,) = e._txns.values()
+        assert t.get("a") == b"1"
+        t.rollback()
+    with Engine(spark, root, Options(recover_uncommitted=True)) as e:
+        assert not e._txns and e.snapshot().count() == 0
+
+
+def test_commits_after_an_append_of_later_times(spark, store):
+    store.append(spark.createDataFrame([("a", "old", 0, 1 << 62)], "key string, value string, op int, ts long"))
+    put(store, a="new")
+    assert bytes(store.snapshot().first().value) == b"new"
+
+
+def test_later_rows_of_an_append_win(spark, store):
+    store.append(spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "3"), ("a", "4")], "key string, value string").coalesce(1))
+    assert {bytes(r.key): bytes(r.value) for r in store.snapshot().collect()} == {b"a": b"4", b"b": b"3"}
+
+
+def test_a_batch_and_its_number_are_published_together(spark, tmp_path):
+    root, rows = f"file://{tmp_path}/db", spark.createDataFrame([("a", "1")], "key string, value string")
+    with Engine(spark, root) as e:
+        e.append(rows, batch=("s", 3))
+        put(e, a="2")
+    with Engine(spark, root) as e:  # as after a crash right after the append
+        assert e.manifest.batches == {"s": 3} and len(e.manifest.runs) == 1
+        assert bytes(e.snapshot().first().value) == b"2"
+
+
+def test_ranges_leave_out_runs_by_their_bounds(spark, store):
+    for k in "am":
+        store.append(spark.createDataFrame([(f"{k}{i}", "v") for i in range(5)], "key string, value string"))
+    with store.view() as t:
+        assert keys(t.range("m1", "m3")) == ["m1", "m2"] and keys(t.prefix("a")) == [f"a{i}" for i in range(5)]
+        assert len(store.snapshot(start=b"m1", end=b"m3").inputFiles()) < len(store.snapshot().inputFiles())
+    assert store.snapshot(start=b"x", end=b"y").count() == 0
+
+
+def test_size_tiered_needs_the_full_threshold(spark, store):
+    store.options.write_buffer_size = 1  # any level scores above 1
+    put(store, a="1")
+    store.force_flush()
+    assert store.pick() is None
+
+
+def test_last_level_is_dealt_upwards(spark, tmp_path):
+    with Engine(spark, f"file://{tmp_path}/db", Options(write_buffer_size=1, level_count=3, level_multiplier=1, partition_ratio=0.9)) as e:
+        for k in "abc":
+            e.append(spark.createDataFrame([(f"{k}{i}", "v" * 10) for i in range(3)], "key string, value string"))
+        for r in e.manifest.runs:
+            r["level"] = 3
+        before = keys(e.snapshot().orderBy("key"))
+        assert e.partition_last_level() is not None
+        assert keys(e.snapshot().orderBy("key")) == before and {r["level"] for r in e.manifest.runs} <= {1, 2, 3} and any(r["level"] < 3 for r in e.manifest.runs)
+
+
+def test_scans_come_in_order(spark):
+    from palimpsest import queries as Q
+
+    for name, down in (("q06_range", False), ("q07_open_start", False), ("q08_open_end", True), ("q09_prefix", False)):
+        got = [r.c_name for r in Q.queries()[name](spark, "/root/testdata/sf0.01").collect()]
+        assert got and got == sorted(got, reverse=down)
