@@ -32,6 +32,9 @@ from .common import batch, blocks, map_arrow, mix, word_hashes, words, written
 
 END, START = np.uint64(0x452821E638D01377), np.uint64(0xBE5466CF34E90C6C)
 SCALE = 20.0  # codes a decade
+#: Contexts with more than a quarter of a shard's share of all words are spread; no more than four times so many.
+HOT = 16_384
+NONE = slice(0, 0)
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -58,22 +61,42 @@ def _unpack(raw: bytes, *kinds: str) -> list[np.ndarray]:
 
 
 class EliasFano:
-    """A rising sequence below 2**64: the lower bits as they are, the upper ones in unary."""
+    """A rising sequence below 2**64: the lower bits as they are, the upper ones in unary. In memory it is what is in the file
+    and, for each 64 bits of the unary part, the number of ones before: places are found by rank and select on those."""
 
     def __init__(self, values: np.ndarray, low_bits: int):
         self.n, self.low_bits = len(values), low_bits
         v = values.astype(np.uint64)
-        self.low = (v & np.uint64((1 << low_bits) - 1)).astype("<u4")
+        self.low = (v & np.uint64((1 << low_bits) - 1)).astype(self.low_type(low_bits))
         high = (v >> np.uint64(low_bits)).astype(np.int64)
         bits = np.zeros(int(high[-1]) + self.n + 1 if self.n else 1, bool)
         bits[high + np.arange(self.n)] = True
         self.bits, self.size = np.packbits(bits, bitorder="little"), len(bits)
         self._index()
 
+    @staticmethod
+    def low_type(low_bits: int) -> str:
+        return "u1" if low_bits <= 8 else "<u2" if low_bits <= 16 else "<u4"
+
     def _index(self) -> None:
-        bits = np.unpackbits(self.bits, count=self.size, bitorder="little").view(bool)
-        self._high = np.flatnonzero(bits) - np.arange(self.n)
-        self._zeros = np.flatnonzero(~bits)
+        self._words = np.pad(self.bits, (0, -len(self.bits) % 8)).view("<u8")
+        self._before = np.concatenate(([0], np.cumsum(np.bitwise_count(self._words), dtype=np.uint32))).astype(np.uint32)
+        self._zeros_before = (np.arange(len(self._before), dtype=np.int64) * 64 - self._before).astype(np.uint32)
+
+    def _select(self, k: np.ndarray, one: bool) -> np.ndarray:
+        """The places of the k-th (from 0) ones or zeros."""
+        before = self._before if one else self._zeros_before
+        w = np.minimum(np.searchsorted(before, k.astype(np.uint32), "right") - 1, len(self._words) - 1)
+        rest, word = k - before[w], self._words[w] if one else ~self._words[w]
+        at = w * 64
+        for width in (32, 16, 8, 4, 2, 1):
+            low = word & np.uint64((1 << width) - 1)
+            n = np.bitwise_count(low)
+            up = rest >= n
+            rest = np.where(up, rest - n, rest)
+            word = np.where(up, word >> np.uint64(width), low)
+            at += np.where(up, width, 0)
+        return at
 
     def arrays(self) -> list[np.ndarray]:
         return [np.array([self.n, self.low_bits, self.size], "<i8"), self.low, self.bits]
@@ -87,14 +110,16 @@ class EliasFano:
         return self
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        return (self._high[i].astype(np.uint64) << np.uint64(self.low_bits)) | self.low[i].astype(np.uint64)
+        i = np.asarray(i, np.int64)
+        return ((self._select(i, True) - i).astype(np.uint64) << np.uint64(self.low_bits)) | self.low[i].astype(np.uint64)
 
     def bucket(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First and end index of the elements with these upper bits."""
-        z = self._zeros
-        first = np.where(high > 0, z[np.clip(high - 1, 0, len(z) - 1)] - high + 1, 0)
-        end = np.where(high < len(z), z[np.clip(high, 0, len(z) - 1)] - high, self.n)
-        gone = high > len(z)
+        zeros = self.size - self.n
+        last = max(zeros - 1, 0)
+        first = np.where(high > 0, self._select(np.clip(high - 1, 0, last), False) - high + 1, 0)
+        end = np.where(high < zeros, self._select(np.clip(high, 0, last), False) - high, self.n)
+        gone = high > zeros
         return np.where(gone, self.n, first), np.where(gone, self.n, end)
 
 
@@ -116,7 +141,7 @@ class Trie:
     @classmethod
     def from_bytes(cls, raw: bytes) -> Trie:
         self = cls.__new__(cls)
-        self.contexts, self.counts, *rest, self.codes = _unpack(raw, "<u8", "<i8", "<i8", "<u4", "u1", "<i8", "<u4", "u1", "u1")
+        self.contexts, self.counts, *rest, self.codes = _unpack(raw, "<u8", "<i8", "<i8", "u1", "u1", "<i8", "<u4", "u1", "u1")
         self.pointers, self.successors = EliasFano.of(*rest[:3]), EliasFano.of(*rest[3:])
         return self
 
@@ -264,6 +289,12 @@ class Plan:
         return out
 
 
+def _cuts(shards: np.ndarray) -> dict[int, slice]:
+    """Where each shard that comes up has its stretch."""
+    at = np.flatnonzero(np.diff(shards, prepend=-1))
+    return {s: slice(a, e) for s, a, e in zip(shards[at].tolist(), at.tolist(), [*at[1:].tolist(), len(shards)], strict=False)}
+
+
 def _asked(b: Block, plan: Plan) -> tuple:
     """For each shard, in a fixed order, which words and which pairs of a block it is asked."""
     ctx, word, n, place = b.pairs()
@@ -272,8 +303,7 @@ def _asked(b: Block, plan: Plan) -> tuple:
     to_w, to_p = plan.words(hashes), plan.pairs(hashes[ctx], succ)
     order_w = np.lexsort((hashes, to_w))
     order_p = np.lexsort((succ, hashes[ctx], to_p))
-    cut_w = np.searchsorted(to_w[order_w], np.arange(plan.shards + 1))
-    cut_p = np.searchsorted(to_p[order_p], np.arange(plan.shards + 1))
+    cut_w, cut_p = _cuts(to_w[order_w]), _cuts(to_p[order_p])
     return hashes, ctx, word, succ, n, place, order_w, order_p, cut_w, cut_p
 
 
@@ -286,13 +316,12 @@ def _requests(table: DataFrame, plan: Plan) -> DataFrame:
                 b = Block.from_bytes(raw.as_buffer().to_pybytes())
                 hashes, ctx, _, succ, n, _, order_w, order_p, cut_w, cut_p = _asked(b, plan)
                 seen = np.append(b.word_counts(), b.train.sum())
-                for s in range(plan.shards):
-                    w, p = order_w[cut_w[s] : cut_w[s + 1]], order_p[cut_p[s] : cut_p[s + 1]]
-                    if len(w) or len(p):
-                        h = hashes[ctx[p]]
-                        new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
-                        data = _pack(hashes[w], seen[w].astype("<u4"), h[new], np.diff(np.append(new, len(h))).astype("<u4"), succ[p], n[p].astype("<u4"))
-                        yield batch(shape, [[s], [block_id], [data]])
+                for s in sorted(cut_w.keys() | cut_p.keys()):
+                    w, p = order_w[cut_w.get(s, NONE)], order_p[cut_p.get(s, NONE)]
+                    h = hashes[ctx[p]]
+                    new = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1]))) if len(h) else np.zeros(0, np.int64)
+                    data = _pack(hashes[w], seen[w].astype("<u4"), h[new], np.diff(np.append(new, len(h))).astype("<u4"), succ[p], n[p].astype("<u4"))
+                    yield batch(shape, [[s], [block_id], [data]])
 
     return map_arrow(table.select("block_id", "data"), run, "shard int, block_id long, data binary")
 
@@ -365,8 +394,8 @@ def _scored(table: DataFrame, answers: DataFrame, plan: Plan) -> DataFrame:
                 else:
                     order_w, order_p, cut_w, cut_p = asked[6:]
                     c, q = _unpack(raw, "<i8", "u1")
-                    counts[order_w[cut_w[shard] : cut_w[shard + 1]]] = c
-                    codes[order_p[cut_p[shard] : cut_p[shard + 1]]] = q
+                    counts[order_w[cut_w.get(shard, NONE)]] = c
+                    codes[order_p[cut_p.get(shard, NONE)]] = q
         if b is not None:
             yield finish(b, asked, counts, codes)
 
@@ -380,7 +409,7 @@ def scored(docs: DataFrame, *, k: float = 100.0, shard_tokens: int = 2_000_000)
     table = blocked(docs)
     n, size = table.agg(F.coalesce(F.sum("n_train"), F.lit(0)), F.coalesce(F.sum("n_tokens"), F.lit(0))).first()
     shards = max(2, -(-size // shard_tokens))
-    heavy = F.when(F.col("c") * 4 * shards > n, F.struct("w", "c"))  # fewer than 4 x shards words can be so frequent
+    heavy = F.when(F.col("c") * 4 * min(shards, HOT) > n, F.struct("w", "c"))  # fewer than 4 x HOT words can be so frequent
     v, hot = unigrams(table).agg(F.count("*"), F.collect_list(heavy)).first()
     plan = Plan(int(shards), {r.w % (1 << 64): r.c for r in hot}, int(n), int(v), k)
     return _scored(table, _answers(_requests(table, plan), plan), plan)
