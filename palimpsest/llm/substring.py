@@ -10,11 +10,15 @@ task first settles what repeats within it and sends on one row a key; so a passa
 documents sends one row per task. The first start by (doc_id, place) of each group stays; the others' words go.
 Documents with the same words as an earlier one go as a whole without taking part.
 
-The merged bits are broadcast; their size is a parameter and doesn't follow the corpus. On a larger corpus a sketch of
-the same size lets more windows through to the exact pass, and results stay the same.
-
-Nulls are texts without words. Documents with fewer than 20 words lose nothing. Rows without doc_id are left out; a
-doc_id that repeats is taken once (see common.one_per_id). Other columns are left out.
+The sketch grows with the corpus, eight cells for each likely anchor. While its merged bits take no more than
+broadcast_bytes they are broadcast. Beyond that they stay dealt by cell range, and are asked by a join: a task sends each
+range the cells that it wants to know of, packed, and gets back which of them were met twice. Neither way holds more than
+one range or the bound in a task, and the share of unique windows that pass stays the same at any size. (A message stands
+for one cell at least, so messages are never more than anchors.)
+
+Nulls are texts without words. Documents with fewer than 20 words lose nothing. Other columns are left out. Documents
+without doc_id come first in order; those that share one (or have none) are told apart, and stand in order of their
+text's hash, then of their text. Each row gives one row.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, blocks, map_arrow, mix, one_per_id, shingle_hashes, without, word_hashes, written
+from .common import batch, blocks, map_arrow, mix, shingle_hashes, without, word_hashes, written
 
 ROWS = 2
 SEGMENT_BITS = 20
@@ -118,8 +122,8 @@ def _first_pass(docs: DataFrame, bits: int, window: int) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n_words long, h1 long, h2 long, cell_row int, segment int, counts binary")
 
 
-def _merged(parts: DataFrame, bits: int) -> dict[tuple[int, int], bytes]:
-    """The sketches added up, each cell range by one task; what comes back is a compressed bit for each cell."""
+def _merged(parts: DataFrame, bits: int) -> DataFrame:
+    """The sketches added up, each cell range by one task: (cell_row, segment, twice), a compressed bit for each cell."""
     size = 1 << min(bits, SEGMENT_BITS)
     shape = pa.schema([("cell_row", pa.int32()), ("segment", pa.int32()), ("twice", pa.binary())])
 
@@ -140,8 +144,91 @@ def _merged(parts: DataFrame, bits: int) -> dict[tuple[int, int], bytes]:
             yield batch(shape, [[now[0]], [now[1]], [z.compress(np.packbits(counts >= 2).tobytes())]])
 
     dealt = parts.repartition("cell_row", "segment").sortWithinPartitions("cell_row", "segment")
-    made = map_arrow(dealt, run, "cell_row int, segment int, twice binary")
-    return {(r.cell_row, r.segment): bytes(r.twice) for r in made.toLocalIterator()}  # at most sketch_bytes in all
+    return map_arrow(dealt, run, "cell_row int, segment int, twice binary")
+
+
+# a sketch that is too large to be broadcast
+
+_ASKED = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("data", pa.binary())])
+_KNOWN = -1
+
+
+def _by_segment(doc: int, values: np.ndarray, row: int, bits: int) -> Iterator[tuple[int, int, bytes]]:
+    """Anchors of a document, packed for each cell range of a sketch's row."""
+    if not len(values):
+        return
+    segment = cells(values, row, bits) >> SEGMENT_BITS
+    order = np.argsort(segment, kind="stable")
+    marks = np.flatnonzero(np.diff(segment[order], prepend=-1))
+    for a, e in zip(marks.tolist(), [*marks[1:].tolist(), len(values)], strict=True):
+        yield doc, int(segment[order[a]]), values[order[a:e]].astype("<u8").tobytes()
+
+
+def _asked(docs: DataFrame, bits: int, window: int) -> DataFrame:
+    """(doc_id, segment, data): each document's anchors, those that the task itself meets twice as known (so that one of
+    which a third of all documents has sends a few rows), the others by the cell range of the first row that can tell."""
+
+    def told(ids: list[int], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, place, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
+        out, at = [], 0
+        for i, own in zip(ids, held, strict=True):
+            often = n[place[at : at + len(own)]] > 1
+            at += len(own)
+            if often.any():
+                out.append((i, _KNOWN, np.unique(own[often]).astype("<u8").tobytes()))
+            out += _by_segment(i, own[~often], 0, bits)
+        for k in range(0, len(out), 20_000):
+            yield batch(_ASKED, [list(c) for c in zip(*out[k : k + 20_000], strict=True)])
+
+    def run(batches):
+        ids, held, size = [], [], 0
+        for b in blocks(batches, "text"):
+            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+                found = split_words(t)
+                if len(found) >= window:
+                    m, at = anchors(word_hashes(found), window)
+                    ids.append(i)
+                    held.append(m[at[np.flatnonzero(np.diff(at, prepend=-1))]])
+                    size += len(held[-1])
+            if size > 2_000_000:
+                yield from told(ids, held)
+                ids, held, size = [], [], 0
+        if ids:
+            yield from told(ids, held)
+
+    return map_arrow(docs, run, "doc_id long, segment int, data binary")
+
+
+def _answered(asked: DataFrame, twice: DataFrame, row: int, bits: int) -> DataFrame:
+    """Of the anchors asked those whose cell was met twice in this row, by the next row's cell range or, after the last, as known."""
+
+    def run(batches):
+        now, marks = None, None
+        for b in batches:
+            out = []
+            for doc, segment, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "segment", "data")), strict=True):
+                if doc is None:
+                    now, marks = segment, np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+                elif now == segment:
+                    values = np.frombuffer(data, "<u8")
+                    c = cells(values, row, bits) & ((1 << SEGMENT_BITS) - 1)
+                    values = values[(marks[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)]
+                    if len(values):
+                        out += _by_segment(doc, values, row + 1, bits) if row + 1 < ROWS else [(doc, _KNOWN, values.tobytes())]
+            yield batch(_ASKED, [list(c) for c in zip(*out, strict=True)] if out else [[], [], []])
+
+    bit_rows = twice.where(F.col("cell_row") == row).select(F.lit(None).cast("long").alias("doc_id"), "segment", F.col("twice").alias("data"))
+    dealt = bit_rows.unionByName(asked).repartition("segment").sortWithinPartitions("segment", F.col("doc_id").asc_nulls_first())
+    return map_arrow(dealt, run, "doc_id long, segment int, data binary")
+
+
+def _known(docs: DataFrame, twice: DataFrame, bits: int, window: int) -> DataFrame:
+    """(doc_id, known): of each document the anchors that were met twice in all rows of the sketch, as the join finds them."""
+    asked = written(_asked(docs, bits, window))
+    found, left = asked.where(F.col("segment") == _KNOWN), asked.where(F.col("segment") != _KNOWN)
+    for row in range(ROWS):
+        left = _answered(left, twice, row, bits)
+    return found.unionByName(left).groupBy("doc_id").agg(F.collect_list("data").alias("known"))  # a document's own anchors
 
 
 class Sketch:
@@ -179,7 +266,7 @@ def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def _second_pass(docs: DataFrame, sent, bits: int, window: int) -> DataFrame:
-    """Candidate windows: of each key a task's first (run 0), and the others, known to repeat, as runs of starts."""
+    """sent: the merged bits; None if documents come with the anchors that are known to be met twice. Candidate windows: of each key a task's first (run 0), and the others, known to repeat, as runs of starts."""
 
     def settle(k1, k2, doc, at) -> Iterator[pa.RecordBatch]:
         k1, k2, doc, at = map(np.concatenate, (k1, k2, doc, at))
@@ -193,19 +280,21 @@ def _second_pass(docs: DataFrame, sent, bits: int, window: int) -> DataFrame:
                 yield batch(_SECOND, [c[i : i + 200_000] for c in cols])
 
     def run(batches):
-        if Sketch._last is None or Sketch._last[0] != id(sent.value):
+        if sent is not None and (Sketch._last is None or Sketch._last[0] != id(sent.value)):
             Sketch._last = id(sent.value), Sketch(bits, sent.value)
-        sketch = Sketch._last[1]
+        sketch = Sketch._last[1] if sent is not None else None
         held, size = ([], [], [], []), 0
         for b in blocks(batches, "text"):
-            for i, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
+            known = b.column("known").to_pylist() if sketch is None else [()] * b.num_rows
+            for i, t, own in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), known, strict=True):
                 found = split_words(t)
                 if len(found) < window:
                     continue
                 h = word_hashes(found)
                 m, at = anchors(h, window)
                 marks = np.flatnonzero(np.diff(at, prepend=-1))
-                yes = np.repeat(sketch.repeated(m[at[marks]]), np.diff(np.append(marks, len(at))))
+                met = np.isin(m[at[marks]], np.frombuffer(b"".join(own), "<u8")) if sketch is None else sketch.repeated(m[at[marks]])
+                yes = np.repeat(met, np.diff(np.append(marks, len(at))))
                 some = np.flatnonzero(yes)
                 if len(some):
                     k1, k2 = window_keys(h, m, some, window)
@@ -222,7 +311,7 @@ def _second_pass(docs: DataFrame, sent, bits: int, window: int) -> DataFrame:
 
 
 def _kept(docs: DataFrame, window: int) -> DataFrame:
-    """docs: doc_id, text, gone (list of (start, run) of windows). The words that stay, joined by blanks."""
+    """docs: own (the document's id), text, starts and runs of windows that go. The words that stay, joined by blanks."""
     shape = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept", pa.binary())])
 
     def run(batches):
@@ -241,33 +330,48 @@ def _kept(docs: DataFrame, window: int) -> DataFrame:
                     found = [w for w, s in zip(found, stays.tolist(), strict=True) if s]
                 removed.append(n[-1] - len(found))
                 kept.append(b" ".join(found))
-            yield batch(shape, [b.column("doc_id"), n, removed, kept])
+            yield batch(shape, [b.column("own"), n, removed, kept])
 
     return map_arrow(docs, run, "doc_id long, n_words long, n_removed long, kept binary")
 
 
-def deduplicated(docs: DataFrame, *, window: int = 20, sketch_bytes: int = 64 << 20) -> DataFrame:
+def _numbered(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text): own is the document's id; doc_id the same or, if ids repeat or are null, a number in their order."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("own"), "text")
+    if not docs.groupBy("own").count().where("count > 1 or own is null").head(1):
+        return docs.select(F.col("own").alias("doc_id"), "own", "text")
+    by = [F.col("own").asc_nulls_first(), F.xxhash64("text"), F.col("text"), F.col("_row")]  # the last one splits equal rows
+    dealt = docs.withColumn("_row", F.monotonically_increasing_id()).repartitionByRange(*by[:2], by[3]).sortWithinPartitions(*by)
+    return written(dealt.select(F.monotonically_increasing_id().alias("doc_id"), "own", "text"))
+
+
+def deduplicated(docs: DataFrame, *, window: int = 20, broadcast_bytes: int = 64 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (UTF-8 bytes of the words that stay)."""
-    docs = one_per_id(docs).select(F.col("doc_id").cast("long"), "text")
+    docs = _numbered(docs)
     n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = 10
-    while (1 << bits) < n // 6 and ROWS * (2 << bits) // 8 <= sketch_bytes:  # eight cells for each anchor that is likely
+    while (1 << bits) < n // 6:  # eight cells for each anchor that is likely
         bits += 1
-    first = written(_first_pass(docs, bits, window))
+    first = written(_first_pass(docs.select("doc_id", "text"), bits, window))
     heads = first.where("n_words is not null").select("doc_id", "n_words", "h1", "h2")
     twice = _merged(first.where("segment is not null").select("cell_row", "segment", "counts"), bits)
-    sent = docs.sparkSession.sparkContext.broadcast(twice)
 
     reps = heads.where(f"n_words >= {window}").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = written(heads.join(reps, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n_words"))
 
-    found = _second_pass(without(docs, copies), sent, bits, window)
+    rest = without(docs.select("doc_id", "text"), copies)
+    if ROWS * (1 << bits) // 8 <= broadcast_bytes:
+        sent = docs.sparkSession.sparkContext.broadcast({(r.cell_row, r.segment): bytes(r.twice) for r in twice.toLocalIterator()})
+        found = _second_pass(rest, sent, bits, window)
+    else:
+        known = _known(docs.select("doc_id", "text"), written(twice), bits, window)
+        found = _second_pass(rest.join(known, "doc_id"), None, bits, window)
     group = Window.partitionBy("k1", "k2")  # a row per task and key at most: pre-aggregated above
     later = found.withColumn("_first", F.min(F.struct("doc_id", "start")).over(group.orderBy("doc_id", "start")))
     gone = later.where("run > 0 or _first.doc_id <> doc_id or _first.start <> start").select("doc_id", F.col("start").cast("int"), F.col("run").cast("int"))
     gone = gone.unionByName(copies.select("doc_id", F.lit(0).alias("start"), (F.col("n_words") - window + 1).cast("int").alias("run")))
     lists = gone.groupBy("doc_id").agg(F.collect_list(F.struct("start", "run")).alias("g")).select("doc_id", F.col("g.start").alias("starts"), F.col("g.run").alias("runs"))
-    return _kept(docs.join(lists, "doc_id", "left"), window)
+    return _kept(docs.join(lists, "doc_id", "left").select("own", "text", "starts", "runs"), window)
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -148,14 +148,14 @@ def test_against_sql(spark, sql):
 
 def test_repeated_windows_against_brute_force(docs, rows, empty):
     seen, want = set(), {}
-    for i, t in sorted((i, t) for i, t, *_ in rows if i is not None):
+    for i, t in sorted(((i, t) for i, t, *_ in rows), key=lambda r: (r[0] is not None, r[0])):
         w = substring.split_words(t)
         gone = set()
         for k in range(len(w) - 19):
             key = tuple(w[k : k + 20])
             gone.update(range(k, k + 20)) if key in seen else seen.add(key)
         want[i] = (len(w), len(gone), hashlib.sha256(b" ".join(x for j, x in enumerate(w) if j not in gone)).hexdigest())
-    for kw in ({}, {"sketch_bytes": 64}):  # a full sketch lets all windows through
+    for kw in ({}, {"broadcast_bytes": 0}):  # by broadcast, and by a join with the cell ranges
         got = substring.deduplicated(docs, **kw).collect()
         assert {r.doc_id: (r.n_words, r.n_removed, hashlib.sha256(r.kept).hexdigest()) for r in got} == want
     assert substring.digests(empty).count() == 0
@@ -342,3 +342,43 @@ def test_mined_rules_against_all_subsets(spark):
     deep = [(i, f"http://h{i % 2}.net/" + "/".join(f"p{j}" for j in range(60 if i % 3 else 30 + i)), 0) for i in range(60)]
     got = urls.judged(spark.createDataFrame(deep, pages.schema), spark.createDataFrame([(i, int(i % 2 == 0), None) for i in range(60)], labels.schema)).collect()
     assert all(r.verdict == ("block" if r.page_id % 2 else "allow") for r in got)
+
+
+def test_repeated_windows_of_rows_without_own_ids(spark):
+    """Ids that repeat or are null: every row counts, nulls first, and each gives one row."""
+    rng = random.Random(9)
+    a, b, c = prose(rng, 50), prose(rng, 30), prose(rng, 19)
+    rows = [(5, a), (5, a), (5, b + " " + a), (None, b), (None, c), (2, None), (2, b), (7, c + " x " + c)]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0))
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substring.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    # within id 5 the order goes by hash: either the pair comes first or the longer text does
+    fixed = [(None, 30, 0), (None, 19, 0), (2, 0, 0), (2, 30, 30), (7, 39, 0)]
+    either = [[(5, 50, 0), (5, 50, 50), (5, 80, 80)], [(5, 80, 30), (5, 50, 50), (5, 50, 50)]]
+    assert len(order) == len(got) and any(got == sorted(fixed + e, key=repr) for e in either)
+
+
+def test_sketch_asked_by_join_passes_no_more_at_two_sizes(spark):
+    """The share of unique windows that pass doesn't grow with the corpus, as the sketch does."""
+    rng, share = random.Random(10), []
+    for n in (60, 600):
+        text = [" ".join(str(rng.random()) for _ in range(200)) for _ in range(n)]
+        docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string")
+        bits = 10
+        while (1 << bits) < sum(map(len, text)) // 6:
+            bits += 1
+        twice = substring.written(substring._merged(substring._first_pass(docs, bits, 20).where("segment is not null").select("cell_row", "segment", "counts"), bits))
+        known = substring._known(docs, twice, bits, 20).selectExpr("explode(known) AS k").selectExpr("sum(octet_length(k)) / 8 AS n").first().n or 0
+        share.append(known / (n * 180 / 8))
+    assert max(share) < 0.1
+
+
+def test_elias_fano_against_the_plain_sequence():
+    rng = np.random.default_rng(3)
+    for n, top, low in ((0, 1, 8), (1, 1, 8), (1000, 50, 8), (5000, 1 << 40, 32), (300, 70_000, 8), (200, 1 << 20, 16)):
+        v = np.sort(rng.integers(0, top, n)).astype(np.uint64)
+        e = lm.EliasFano.of(*lm.EliasFano(v, low).arrays())
+        assert (e.get(np.arange(n)) == v).all() and e.low.itemsize * 8 == low
+        high = np.unique(np.concatenate(([0, 1, 2], (v >> np.uint64(low)).astype(np.int64), [(top >> low) + 5])))
+        first, end = e.bucket(high)
+        want = np.searchsorted(v >> np.uint64(low), high.astype(np.uint64)), np.searchsorted(v >> np.uint64(low), high.astype(np.uint64), "right")
+        assert (first == want[0]).all() and (end == want[1]).all()
