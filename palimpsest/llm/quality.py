@@ -120,7 +120,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_ROWS, l
     """
     some = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max(F.coalesce("toxic", F.lit(0))).alias("toxic"))
     some = F.broadcast(some.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows))
-    rows = docs.select("doc_id", "text").join(some, "doc_id").select("text", "quality", "toxic")
+    # Of rows that share an id one counts, the one with the smallest text hash, so that repeated ids don't swell the sample.
+    rows = docs.select("doc_id", "text").join(some, "doc_id").groupBy("doc_id").agg(F.min_by(F.struct("text", "quality", "toxic"), F.struct(F.xxhash64("text"), "text")).alias("x")).select("x.*")
     shape = pa.schema([("bins", pa.list_(pa.int32())), ("quality", pa.int32()), ("toxic", pa.int32()), ("word", pa.string()), ("in_toxic", pa.int64()), ("in_other", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,7 +201,7 @@ def sites(evidence: DataFrame) -> DataFrame:
 
 
 def judged(evidence: DataFrame, groups: DataFrame) -> DataFrame:
-    """Adds host_posterior, path_posterior, score and keep to rows with evidence."""
+    """Adds host_posterior, path_posterior, score and keep to rows with evidence; columns of these names are replaced."""
     clash = [c for c in ("host_posterior", "path_posterior", "shift", "score", "keep") if c in evidence.columns]
     out = _site(evidence.drop(*clash)).join(checked(groups), ["_host", "_path"], "left").drop("_host", "_path")
     return out.withColumn("score", F.col("evidence") + F.coalesce("shift", F.lit(0.0))).withColumn("keep", F.col("score") >= 0).drop("shift")
