@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, blocks, components, map_arrow, mix, only, shingle_hashes, ship, word_hashes, words, written
+from .common import batch, blocks, checked, components, map_arrow, mix, only, shingle_hashes, ship, word_hashes, words, written
 
 ROWS = 96
 WIDTH = 1.25
@@ -210,8 +210,10 @@ def classes(docs: DataFrame, least: float = 0.8) -> DataFrame:
     wordless = F.col("n_shingles") == 0
     one = sigs.groupBy("doc_id").agg(F.min_by(F.struct("h1", "h2", "n_shingles"), F.struct("h1", "h2")).alias("x")).select("doc_id", "x.*")
     sigs, one = (x.withColumns({h: F.when(wordless, 0).otherwise(F.col(h)) for h in ("h1", "h2")}) for x in (sigs, one))
-    copies = sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"))
-    member = written(one.join(copies, ["h1", "h2"]).select("doc_id", "rep", "n_shingles"))
+    # Only hashes that several texts have are joined, from a table of their own: a join that isn't in one stage with the
+    # aggregate can be broadcast, or its large groups split.
+    copies = written(sigs.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")).where("rep <> last").drop("last"))
+    member = written(one.join(checked(copies), ["h1", "h2"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), "n_shingles"))
     texts = sigs.join(member.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi").where("n_shingles > 0").dropDuplicates(["doc_id"])
     texts = written(texts.select("doc_id", "n_shingles", "sig", "keys"))
     links = written(linked(texts, docs, least))

@@ -32,7 +32,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import batch, blocks, map_arrow, mix, shingle_hashes, without, word_hashes, written
+from .common import batch, blocks, checked, map_arrow, mix, shingle_hashes, without, word_hashes, written
 
 ROWS = 2
 SEGMENT_BITS = 20
@@ -357,7 +357,7 @@ def deduplicated(docs: DataFrame, *, window: int = 20, broadcast_bytes: int = 64
     twice = _merged(first.where("segment is not null").select("cell_row", "segment", "counts"), bits)
 
     reps = heads.where(f"n_words >= {window}").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
-    copies = written(heads.join(reps, ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n_words"))
+    copies = written(heads.join(checked(written(reps.drop("n"))), ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n_words"))
 
     rest = without(docs.select("doc_id", "text"), copies)
     if ROWS * (1 << bits) // 8 <= broadcast_bytes:
