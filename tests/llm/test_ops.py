@@ -382,3 +382,62 @@ def test_elias_fano_against_the_plain_sequence():
         first, end = e.bucket(high)
         want = np.searchsorted(v >> np.uint64(low), high.astype(np.uint64)), np.searchsorted(v >> np.uint64(low), high.astype(np.uint64), "right")
         assert (first == want[0]).all() and (end == want[1]).all()
+
+
+def test_quality_by_brute_force(spark):
+    """Posteriors and scores from given evidence, worked out again in plain Python; ties, a null source, clashing columns."""
+    rng = random.Random(12)
+    rows = [(f"h{i % 5}/p{i % 3}" if i % 11 else None, rng.choice([-2.0, 0.0, 1.0, 3.0]) + i % 5 - 2, "clash", False) for i in range(400)]
+    sig = lambda x: 1 / (1 + math.exp(-x))
+    site = lambda r: ((r[0] or "").split("/")[0], "/".join((r[0] or "").split("/")[1:]))
+    paths, hosts = {}, {}
+    for r in rows:
+        for d, k in ((paths, site(r)), (hosts, site(r)[0])):
+            n, s = d.get(k, (0, 0.0))
+            d[k] = n + 1, s + sig(r[1])
+    total, mean = len(rows), sum(sig(r[1]) for r in rows) / len(rows)
+    spread = mean * (1 - mean)
+
+    def strength(groups, centre):
+        between = sum(n * (s / n - centre(k)) ** 2 for k, (n, s) in groups.items()) / total - spread * len(groups) / total
+        return min(max(spread / max(between, 1e-6) - 1, 2.0), 1e5)
+
+    kh = strength(hosts, lambda k: mean)
+    kp = strength(paths, lambda k: hosts[k[0]][1] / hosts[k[0]][0])
+    host = {k: (s + kh * mean) / (n + kh) for k, (n, s) in hosts.items()}
+    path = {k: (s + kp * host[k[0]]) / (n + kp) for k, (n, s) in paths.items()}
+    logit = lambda p: math.log(p / (1 - p))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, source string, evidence double, score string, keep boolean")
+    got = quality.judged(df, quality.sites(df)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        k, e = site(rows[r.i]), rows[r.i][1]
+        assert r.score == pytest.approx(e + logit(path[k]) - logit(mean)) and r.keep == (r.score >= 0)
+        assert r.host_posterior == pytest.approx(host[k[0]]) and r.path_posterior == pytest.approx(path[k])
+
+
+def test_repeated_and_null_ids(spark):
+    """Row by row operators keep every row; those that go by id count an id once and leave out rows without one."""
+    t = "the river runs by stone walls and people go to the market"
+    rows = [(1, t, "a/b"), (1, t, "a/b"), (1, "other words stand here now", None), (None, t, "a/b"), (None, None, None), (2, t, "a/b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    vocabulary = P.path("byte_bpe_multi_50k.tiktoken")
+    assert bpe.digests(d, vocabulary, P.PATTERN).count() == quality.classified(d, none).count() == quality.kept(d, none).count() == 6
+    assert wavelet.write_and_read(d, P.path("byte_bpe_50k.json"), P.PATTERN).count() == lm.scored(d).count() == secrets.digests(d).count() == 6
+    assert {(r.doc_id, r.class_id) for r in neardup.classes(d).collect()} in ({(1, 1), (2, 1)}, {(1, 1), (2, 2)})
+    items = spark.createDataFrame([(5, t), (5, t), (None, t)], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontaminate.contained(d, items).collect()) == [(1, 5), (2, 5)]
+    labels = spark.createDataFrame([(1, q, 0) for q in (0, 1)] * 3 + [(2, 0, 1), (None, 1, 1)], none.schema)
+    many = d.unionByName(spark.createDataFrame([(1, t, "a/b")] * 500, d.schema))
+    assert quality.classified(many, labels).count() == 506
+
+
+def test_stages_on_empty_tables(spark):
+    import corpus_pipeline as C
+
+    at = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in C.STAGES:
+        out = stage(spark, at, SF)
+        assert out.count() == 0, name
+        at = out if out.columns == at.columns else at
