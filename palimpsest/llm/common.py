@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import re
 import shutil
 import tempfile
@@ -93,7 +95,19 @@ def ship(spark: SparkSession) -> None:
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
     """mapInArrow with the package at hand on the executors."""
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def whole(batches):
+        yield from run(batches)
+        give_back()
+
+    return df.mapInArrow(whole, schema)
+
+
+def give_back() -> None:
+    """Returns to the system what a finished task has freed, as workers live on and wait beside the JVM."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only in the GNU library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 # words
@@ -106,7 +120,7 @@ def words(text: str | None) -> list[bytes]:
 class WordHashes(dict):
     """Word -> 64-bit hash, computed once per word; emptied when it has grown large, so memory stays bounded."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 150_000):
         super().__init__()
         self._most = most
 
