@@ -10,11 +10,11 @@ task first settles what repeats within it and sends on one row a key; so a passa
 documents sends one row per task. The first start by (doc_id, place) of each group stays; the others' words go.
 Documents with the same words as an earlier one go as a whole without taking part.
 
-The sketch grows with the corpus, eight cells for each likely anchor. While its merged bits take no more than
-broadcast_bytes they are broadcast. Beyond that they stay dealt by cell range, and are asked by a join: a task sends each
-range the cells that it wants to know of, packed, and gets back which of them were met twice. Neither way holds more than
-one range or the bound in a task, and the share of unique windows that pass stays the same at any size. (A message stands
-for one cell at least, so messages are never more than anchors.)
+The sketch grows with the corpus, eight cells for each likely anchor. Its merged bits are broadcast if they take no more
+than broadcast_bytes, or can be folded to that (neighbouring cells as one) with at most PASSED of the unique windows let
+through; few cells are met twice, so that folding by eight mostly does little harm. Beyond that they stay dealt by cell
+range, and are asked by a join: a task sends each range the anchors that it wants to know of, those of all its documents in
+one message, and gets back which of them were met twice. Neither way holds more than one range or the bound in a task.
 
 Nulls are texts without words. Documents with fewer than 20 words lose nothing. Other columns are left out. Documents
 without doc_id come first in order; those that share one (or have none) are told apart, and stand in order of their
@@ -35,7 +35,9 @@ from pyspark.sql import functions as F
 from .common import batch, blocks, checked, map_arrow, mix, shingle_hashes, without, word_hashes, written
 
 ROWS = 2
-SEGMENT_BITS = 20
+SEGMENT_BITS = 22
+#: Folding may let through so many of the unique windows; they cost time, not results.
+PASSED = 0.05
 _SEEDS = [np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)]
 _INNER = 5
 
@@ -123,9 +125,9 @@ def _first_pass(docs: DataFrame, bits: int, window: int) -> DataFrame:
 
 
 def _merged(parts: DataFrame, bits: int) -> DataFrame:
-    """The sketches added up, each cell range by one task: (cell_row, segment, twice), a compressed bit for each cell."""
+    """The sketches added up, each cell range by one task: (cell_row, segment, twice, n_twice), a compressed bit for each cell and how many are set."""
     size = 1 << min(bits, SEGMENT_BITS)
-    shape = pa.schema([("cell_row", pa.int32()), ("segment", pa.int32()), ("twice", pa.binary())])
+    shape = pa.schema([("cell_row", pa.int32()), ("segment", pa.int32()), ("twice", pa.binary()), ("n_twice", pa.int64())])
 
     def run(batches):
         z, unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
@@ -134,51 +136,94 @@ def _merged(parts: DataFrame, bits: int) -> DataFrame:
             for row, segment, packed in zip(*(b.column(c).to_pylist() for c in ("cell_row", "segment", "counts")), strict=True):
                 if now != (row, segment):
                     if now:
-                        yield batch(shape, [[now[0]], [now[1]], [z.compress(np.packbits(counts >= 2).tobytes())]])
+                        yield batch(shape, [[now[0]], [now[1]], [z.compress(np.packbits(counts >= 2).tobytes())], [int((counts >= 2).sum())]])
                     now, counts = (row, segment), np.zeros(size, np.uint8)
                 raw = unzip.decompress(packed)
                 n = len(raw) // 5
                 at = np.cumsum(np.frombuffer(raw[: 4 * n], "<u4"))
                 counts[at] = np.minimum(counts[at] + np.frombuffer(raw[4 * n :], np.uint8), 2)
         if now:
-            yield batch(shape, [[now[0]], [now[1]], [z.compress(np.packbits(counts >= 2).tobytes())]])
+            yield batch(shape, [[now[0]], [now[1]], [z.compress(np.packbits(counts >= 2).tobytes())], [int((counts >= 2).sum())]])
 
     dealt = parts.repartition("cell_row", "segment").sortWithinPartitions("cell_row", "segment")
-    return map_arrow(dealt, run, "cell_row int, segment int, twice binary")
+    return map_arrow(dealt, run, "cell_row int, segment int, twice binary, n_twice long")
+
+
+def _folds(twice: DataFrame, bits: int, most_bytes: int) -> int | None:
+    """How often the bits must be halved to be broadcast; None if too many unique windows would pass then."""
+    by = 0
+    while by < min(bits, SEGMENT_BITS) - 3 and ROWS * (1 << (bits - by)) // 8 > most_bytes:
+        by += 1
+    if ROWS * (1 << (bits - by)) // 8 > most_bytes:
+        return None
+    shares = [1 - (1 - r.n / (1 << bits)) ** (1 << by) for r in twice.groupBy("cell_row").agg(F.sum("n_twice").alias("n")).collect()]
+    return by if not by or np.prod(shares) <= PASSED else None
+
+
+def _folded(twice: DataFrame, by: int) -> DataFrame:
+    """The merged bits with each 2**by neighbouring cells as one."""
+    shape = pa.schema([("cell_row", pa.int32()), ("segment", pa.int32()), ("twice", pa.binary())])
+
+    def run(batches):
+        z, unzip = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        for b in batches:
+            for row, segment, packed in zip(*(b.column(c).to_pylist() for c in ("cell_row", "segment", "twice")), strict=True):
+                marks = np.unpackbits(np.frombuffer(unzip.decompress(packed), np.uint8))
+                yield batch(shape, [[row], [segment], [z.compress(np.packbits(marks.reshape(-1, 1 << by).any(1)).tobytes())]])
+
+    return map_arrow(twice.select("cell_row", "segment", "twice"), run, "cell_row int, segment int, twice binary") if by else twice
 
 
 # a sketch that is too large to be broadcast
 
-_ASKED = pa.schema([("doc_id", pa.int64()), ("segment", pa.int32()), ("data", pa.binary())])
+_ASKED = pa.schema([("segment", pa.int32()), ("docs", pa.binary()), ("data", pa.binary())])
 _KNOWN = -1
 
 
-def _by_segment(doc: int, values: np.ndarray, row: int, bits: int) -> Iterator[tuple[int, int, bytes]]:
-    """Anchors of a document, packed for each cell range of a sketch's row."""
-    if not len(values):
+def _packed(segment: int, docs: np.ndarray, values: np.ndarray) -> tuple[int, bytes, bytes]:
+    return segment, np.diff(docs, prepend=np.int64(0)).astype("<i8").tobytes(), values.astype("<u8").tobytes()
+
+
+def _unpacked(docs: bytes, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    return np.cumsum(np.frombuffer(docs, "<i8")), np.frombuffer(data, "<u8")
+
+
+def _by_segment(docs: np.ndarray, values: np.ndarray, row: int, bits: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """Anchors and their documents, packed for each cell range of a sketch's row; after the last row as known."""
+    if row == ROWS:
+        for i in range(0, len(values), 500_000):
+            yield _packed(_KNOWN, docs[i : i + 500_000], values[i : i + 500_000])
         return
     segment = cells(values, row, bits) >> SEGMENT_BITS
     order = np.argsort(segment, kind="stable")
     marks = np.flatnonzero(np.diff(segment[order], prepend=-1))
     for a, e in zip(marks.tolist(), [*marks[1:].tolist(), len(values)], strict=True):
-        yield doc, int(segment[order[a]]), values[order[a:e]].astype("<u8").tobytes()
+        yield _packed(int(segment[order[a]]), docs[order[a:e]], values[order[a:e]])
+
+
+def _messages(packed: Iterator[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    """Batches of some 4 MB."""
+    out, size = [], 0
+    for one in packed:
+        out.append(one)
+        size += len(one[1]) + len(one[2])
+        if size > 4 << 20:
+            yield batch(_ASKED, [list(c) for c in zip(*out, strict=True)])
+            out, size = [], 0
+    if out:
+        yield batch(_ASKED, [list(c) for c in zip(*out, strict=True)])
 
 
 def _asked(docs: DataFrame, bits: int, window: int) -> DataFrame:
-    """(doc_id, segment, data): each document's anchors, those that the task itself meets twice as known (so that one of
-    which a third of all documents has sends a few rows), the others by the cell range of the first row that can tell."""
+    """(segment, docs, data): a task's anchors with their documents, those that it meets twice itself as known (so that one
+    of which a third of all documents has is answered at once), the others by the cell range of the sketch's first row."""
 
     def told(ids: list[int], held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        _, place, n = np.unique(np.concatenate(held), return_inverse=True, return_counts=True)
-        out, at = [], 0
-        for i, own in zip(ids, held, strict=True):
-            often = n[place[at : at + len(own)]] > 1
-            at += len(own)
-            if often.any():
-                out.append((i, _KNOWN, np.unique(own[often]).astype("<u8").tobytes()))
-            out += _by_segment(i, own[~often], 0, bits)
-        for k in range(0, len(out), 20_000):
-            yield batch(_ASKED, [list(c) for c in zip(*out[k : k + 20_000], strict=True)])
+        values, doc = np.concatenate(held), np.repeat(np.array(ids, np.int64), [len(x) for x in held])
+        _, place, n = np.unique(values, return_inverse=True, return_counts=True)
+        often = n[place] > 1
+        yield from _messages(_by_segment(doc[often], values[often], ROWS, bits))
+        yield from _messages(_by_segment(doc[~often], values[~often], 0, bits))
 
     def run(batches):
         ids, held, size = [], [], 0
@@ -190,36 +235,60 @@ def _asked(docs: DataFrame, bits: int, window: int) -> DataFrame:
                     ids.append(i)
                     held.append(m[at[np.flatnonzero(np.diff(at, prepend=-1))]])
                     size += len(held[-1])
-            if size > 2_000_000:
-                yield from told(ids, held)
-                ids, held, size = [], [], 0
+                if size > 2_000_000:
+                    yield from told(ids, held)
+                    ids, held, size = [], [], 0
         if ids:
             yield from told(ids, held)
 
-    return map_arrow(docs, run, "doc_id long, segment int, data binary")
+    return map_arrow(docs, run, "segment int, docs binary, data binary")
 
 
 def _answered(asked: DataFrame, twice: DataFrame, row: int, bits: int) -> DataFrame:
     """Of the anchors asked those whose cell was met twice in this row, by the next row's cell range or, after the last, as known."""
 
     def run(batches):
-        now, marks = None, None
-        for b in batches:
-            out = []
-            for doc, segment, data in zip(*(b.column(c).to_pylist() for c in ("doc_id", "segment", "data")), strict=True):
-                if doc is None:
-                    now, marks = segment, np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-                elif now == segment:
-                    values = np.frombuffer(data, "<u8")
-                    c = cells(values, row, bits) & ((1 << SEGMENT_BITS) - 1)
-                    values = values[(marks[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)]
-                    if len(values):
-                        out += _by_segment(doc, values, row + 1, bits) if row + 1 < ROWS else [(doc, _KNOWN, values.tobytes())]
-            yield batch(_ASKED, [list(c) for c in zip(*out, strict=True)] if out else [[], [], []])
-
-    bit_rows = twice.where(F.col("cell_row") == row).select(F.lit(None).cast("long").alias("doc_id"), "segment", F.col("twice").alias("data"))
-    dealt = bit_rows.unionByName(asked).repartition("segment").sortWithinPartitions("segment", F.col("doc_id").asc_nulls_first())
-    return map_arrow(dealt, run, "doc_id long, segment int, data binary")
+        now, marks, held, size = None, None, ([], []), 0
+        for big in batches:
+            for b in blocks([big], "data"):
+                for segment, docs, data in zip(*(b.column(c).to_pylist() for c in ("segment", "docs", "data")), strict=True):
+                    if docs is None:
+                        now, marks = segment, np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+                    elif now == segment:
+                        doc, values = _unpacked(docs, data)
+                        c = cells(values, row, bits) & ((1 << SEGMENT_BITS) - 1)
+                        yes = (marks[c >> 3] >> (7 - (c & 7)).astype(np.uint8) & 1).astype(bool)
+                        held[0].append(doc[yes])
+                        held[1].append(values[yes])
+                        size += len(held[0][-1])
+                    if size > 2_000_000:
+                        yield from _messages(_by_segment(*map(np.concatenate, held), row + 1, bits))
+                        held, size = ([], []), 0
+        if size:
+            yield from _messages(_by_segment(*map(np.concatenate, held), row + 1, bits))
+
+    bit_rows = twice.where(F.col("cell_row") == row).select("segment", F.lit(None).cast("binary").alias("docs"), F.col("twice").alias("data"))
+    dealt = bit_rows.unionByName(asked).repartition("segment").sortWithinPartitions("segment", F.col("docs").isNotNull())
+    return map_arrow(dealt, run, "segment int, docs binary, data binary")
+
+
+def _by_document(known: DataFrame) -> DataFrame:
+    """(doc_id, data): of each message a row for each document, with its anchors."""
+    shape = pa.schema([("doc_id", pa.int64()), ("data", pa.binary())])
+
+    def run(batches):
+        for big in batches:
+            for b in blocks([big], "data"):
+                for docs, data in zip(*(b.column(c).to_pylist() for c in ("docs", "data")), strict=True):
+                    doc, values = _unpacked(docs, data)
+                    order = np.argsort(doc, kind="stable")
+                    doc, values = doc[order], values[order]
+                    marks = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
+                    ends = (np.append(marks, len(doc)) * 8).astype("<i4")
+                    column = pa.Array.from_buffers(pa.binary(), len(marks), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(values.tobytes())])
+                    yield batch(shape, [doc[marks], column])
+
+    return map_arrow(known.select("docs", "data"), run, "doc_id long, data binary")
 
 
 def _known(docs: DataFrame, twice: DataFrame, bits: int, window: int) -> DataFrame:
@@ -228,7 +297,7 @@ def _known(docs: DataFrame, twice: DataFrame, bits: int, window: int) -> DataFra
     found, left = asked.where(F.col("segment") == _KNOWN), asked.where(F.col("segment") != _KNOWN)
     for row in range(ROWS):
         left = _answered(left, twice, row, bits)
-    return found.unionByName(left).groupBy("doc_id").agg(F.collect_list("data").alias("known"))  # a document's own anchors
+    return _by_document(found.unionByName(left)).groupBy("doc_id").agg(F.collect_list("data").alias("known"))  # a document's own anchors
 
 
 class Sketch:
@@ -238,12 +307,12 @@ class Sketch:
 
     def __init__(self, bits: int, twice: dict[tuple[int, int], bytes]):
         self.bits, self.rows = bits, []
-        size = 1 << min(bits, SEGMENT_BITS)
         for row in range(ROWS):
             out = np.zeros((1 << bits) // 8, np.uint8)
             for (r, s), packed in twice.items():
                 if r == row:
-                    out[s * size // 8 : (s + 1) * size // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+                    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8)
+                    out[s * len(raw) : (s + 1) * len(raw)] = raw
             self.rows.append(out)
 
     def repeated(self, values: np.ndarray) -> np.ndarray:
@@ -354,17 +423,18 @@ def deduplicated(docs: DataFrame, *, window: int = 20, broadcast_bytes: int = 64
         bits += 1
     first = written(_first_pass(docs.select("doc_id", "text"), bits, window))
     heads = first.where("n_words is not null").select("doc_id", "n_words", "h1", "h2")
-    twice = _merged(first.where("segment is not null").select("cell_row", "segment", "counts"), bits)
+    twice = written(_merged(first.where("segment is not null").select("cell_row", "segment", "counts"), bits))
 
     reps = heads.where(f"n_words >= {window}").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1")
     copies = written(heads.join(checked(written(reps.drop("n"))), ["h1", "h2"]).where("doc_id <> rep").select("doc_id", "n_words"))
 
     rest = without(docs.select("doc_id", "text"), copies)
-    if ROWS * (1 << bits) // 8 <= broadcast_bytes:
-        sent = docs.sparkSession.sparkContext.broadcast({(r.cell_row, r.segment): bytes(r.twice) for r in twice.toLocalIterator()})
-        found = _second_pass(rest, sent, bits, window)
+    by = _folds(twice, bits, broadcast_bytes)
+    if by is not None:
+        sent = docs.sparkSession.sparkContext.broadcast({(r.cell_row, r.segment): bytes(r.twice) for r in _folded(twice, by).toLocalIterator()})
+        found = _second_pass(rest, sent, bits - by, window)
     else:
-        known = _known(docs.select("doc_id", "text"), written(twice), bits, window)
+        known = _known(rest, twice, bits, window)
         found = _second_pass(rest.join(known, "doc_id"), None, bits, window)
     group = Window.partitionBy("k1", "k2")  # a row per task and key at most: pre-aggregated above
     later = found.withColumn("_first", F.min(F.struct("doc_id", "start")).over(group.orderBy("doc_id", "start")))

@@ -441,3 +441,17 @@ def test_stages_on_empty_tables(spark):
         out = stage(spark, at, SF)
         assert out.count() == 0, name
         at = out if out.columns == at.columns else at
+
+
+def test_sketch_asked_by_few_messages_or_folded(spark):
+    """A task asks each cell range once for all its documents; folded bits give the same results as whole ones."""
+    rng = random.Random(12)
+    text = [" ".join(str(rng.random()) for _ in range(100)) for _ in range(300)]
+    text += [text[i] + " " + text[i + 1] for i in range(0, 40, 2)]
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").coalesce(1)
+    assert substring._asked(docs, 28, 20).count() < 200
+    bits = 20
+    twice = substring.written(substring._merged(substring._first_pass(docs, bits, 20).where("segment is not null").select("cell_row", "segment", "counts"), bits))
+    assert substring._folds(twice, bits, 1 << 18) == 0 and substring._folds(twice, bits, 1 << 15) == 3 and substring._folds(twice, bits, 16) is None
+    want, *others = (sorted(map(tuple, substring.deduplicated(docs, broadcast_bytes=most).collect())) for most in (64 << 20, 1 << 12, 0))
+    assert sum(n for _, _, n, _ in want) == 40 * 100 and all(o == want for o in others)
