@@ -2,11 +2,11 @@
 
 Corners are found at several scales, turned to the direction of their patch's centre of brightness, and described by 256
 comparisons of two places each. Each 40 bits of a description are a key of one of six Hamming tables; a copy's corners each
-keep some key with good odds, and a picture has many corners. A key that two pictures have pairs them. In a bucket of up to
-`most` pictures all are paired; in a larger one each is paired with the smallest, and all go on with longer keys. What shares
-a bucket of the longest keys and isn't in one component then is paired, too. Pairs with several common keys over all tables
-and levels are verified: corners are matched, and a match's position, scale and direction propose a similarity transform
-that enough other matches must follow.
+keep some key with good odds, and a picture has many corners. All pairs of pictures with several common keys over all tables
+are verified, whatever the size of their buckets: a bucket sends each of its pictures the smaller ones, packed, and a task
+counts how often each comes. Corners are matched, and a match's position, scale and direction propose a similarity transform
+that enough other matches must follow. For that, pictures are dealt into blocks, and a task gets those that it needs of two
+blocks once, with all their pairs. The work grows with the square of a group's size, as do the links.
 
 Images are binary PGM or PPM (P5, P6, 8 bits). Nulls and what can't be read have no corners and stand alone, as do images
 with too few corners, unless their bytes are equal. Rows without id are left out; an id that repeats counts once, with its
@@ -16,13 +16,14 @@ smallest content hash.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, blocks, checked, components, map_arrow, mix, written
+from .common import batch, blocks, checked, components, map_arrow, written
 
 #: Corners at full size: CORNERS, or one for DENSE pixels if that is more. Scales go down by STEP while 16 pixels are left.
 CORNERS, RADIUS, STEP, DENSE = 48, 15, 0.72, 85
@@ -226,11 +227,11 @@ def described(images: DataFrame) -> DataFrame:
 TABLES, KEY_BYTES = 6, 5
 
 
-def _key(words: np.ndarray, table: int, level: int) -> np.ndarray:
-    """A key of KEY_BYTES bytes and two more for each level."""
+def _key(words: np.ndarray, table: int) -> np.ndarray:
+    """A key of KEY_BYTES bytes and the table's number."""
     k = np.full(len(words), table + 1, np.uint64)
-    for at in range(KEY_BYTES + 2 * level):
-        k = k << np.uint64(8) | words[:, (KEY_BYTES * table + at) % 32] if at < 7 else mix(k) + words[:, (KEY_BYTES * table + at) % 32]
+    for at in range(KEY_BYTES):
+        k = k << np.uint64(8) | words[:, (KEY_BYTES * table + at) % 32]
     return k.view(np.int64)
 
 
@@ -250,7 +251,7 @@ def _keys(rows: DataFrame) -> DataFrame:
             for b in blocks([big], "words", 4 << 20):
                 ids, words = _of_images(b)
                 for t in range(TABLES):
-                    k = _key(words, t, 0)
+                    k = _key(words, t)
                     order = np.lexsort((ids, k))
                     k, i = k[order], ids[order]
                     new = np.concatenate(([True], (k[1:] != k[:-1]) | (i[1:] != i[:-1]))) if len(k) else np.zeros(0, bool)
@@ -259,69 +260,113 @@ def _keys(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("id", "words"), run, "k0 long, id long")
 
 
-def _longer_keys(rows: DataFrame, wanted: DataFrame, levels: int, *, most: int = 1_000_000) -> DataFrame:
-    """(k0, k1, ..., id) of those corners whose k0 is wanted; up to `most` wanted keys (of 8 bytes) are broadcast."""
-    names = [f"k{i}" for i in range(levels)]
-    shape = pa.schema([(c, pa.int64()) for c in (*names, "id")])
-
-    def run(batches):
+#: A bucket's message to a picture names so many others at most; a picture that has more gets several.
+NAMED = 512
+
+
+def _sharing(keys: DataFrame, common: int) -> DataFrame:
+    """(a, b), a > b: all pairs with so many common keys."""
+    named = pa.schema([("a", pa.int64()), ("others", pa.binary())])
+    pairs = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def told(k: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        """Of whole buckets: to each picture the smaller ones, as differences. Buckets of one size go together."""
+        start = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        n = np.diff(np.append(start, len(k)))
+        out, held = [], 0
+        for size in np.unique(n[n > 1]).tolist():
+            all_of = start[n == size]
+            step = max(1, (1 << 18) // size)
+            for at in range(0, len(all_of), step):
+                own = ids[all_of[at : at + step, None] + np.arange(size)]
+                for j in range(1, size):
+                    for low in range(0, j, NAMED):
+                        some = own[:, low : min(j, low + NAMED)]
+                        out.append((own[:, j], np.diff(some, axis=1, prepend=np.int64(0)).astype("<i8"), some.shape[1]))
+                        held += some.size
+                        if held > 1 << 19:
+                            yield sent(out)
+                            out, held = [], 0
+        if out:
+            yield sent(out)
+
+    def sent(out: list) -> pa.RecordBatch:
+        ends = np.cumsum(np.concatenate([[0], *(np.full(len(a), 8 * n) for a, _, n in out)])).astype("<i4")
+        data = b"".join(x.tobytes() for _, x, _ in out)
+        return batch(named, [np.concatenate([a for a, _, _ in out]), pa.Array.from_buffers(pa.binary(), len(ends) - 1, [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])])
+
+    def tell(batches):
+        held = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append((b.column("k0").to_numpy(), b.column("id").to_numpy()))
+            if held[0][0][0] == held[-1][0][-1]:  # still one bucket
+                continue
+            k, ids = (np.concatenate(c) for c in zip(*held, strict=True))
+            cut = int(np.searchsorted(k, k[-1]))
+            yield from told(k[:cut], ids[:cut])
+            held = [(k[cut:], ids[cut:])]
+        if held:
+            yield from told(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+    def count(batches):
+        o, v, c = (np.zeros(0, np.int64) for _ in range(3))
         for big in batches:
-            for b in blocks([big], "words", 4 << 20):
-                ids, words = _of_images(b)
-                for t in range(TABLES):
-                    yield batch(shape, [*(_key(words, t, level) for level in range(levels)), ids])
-
-    made = map_arrow(rows.select("id", "words"), run, ", ".join(f"{k} long" for k in names) + ", id long")
-    return made.join(checked(wanted.select("k0"), most), "k0", "left_semi").distinct()
-
-
-def _verified(pairs: DataFrame, d: DataFrame, agree: int) -> DataFrame:
+            for b in blocks([big], "others"):
+                raw = b.column("others").to_pylist()
+                n = np.array([len(x) // 8 for x in raw], np.int64)
+                total = np.cumsum(np.frombuffer(b"".join(raw), "<i8"))
+                before = np.concatenate(([0], total))[np.cumsum(n) - n]
+                o, v = np.append(o, np.repeat(b.column("a").to_numpy(), n)), np.append(v, total - np.repeat(before, n))
+                c = np.append(c, np.ones(len(total), np.int64))
+                order = np.lexsort((v, o))
+                o, v, c = o[order], v[order], c[order]
+                new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]))))
+                o, v, c = o[new], v[new], np.add.reduceat(c, new)
+                whole = o < o[-1]
+                yes = whole & (c >= common)
+                yield batch(pairs, [o[yes], v[yes]])
+                o, v, c = o[~whole], v[~whole], c[~whole]
+        yield batch(pairs, [o[c >= common], v[c >= common]])
+
+    dealt = keys.repartition("k0").sortWithinPartitions("k0", "id")
+    told_to = map_arrow(dealt, tell, "a long, others binary")
+    return map_arrow(told_to.repartition("a").sortWithinPartitions("a"), count, "a long, b long")
+
+
+def _verified(pairs: DataFrame, d: DataFrame, agree: int, *, block_bytes: int = 32 << 20) -> DataFrame:
     """Those pairs (a, b) that enough corners confirm, with their number."""
     shape = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n_agree", pa.int32())])
 
     def run(batches):
+        now, held = None, {}
         for x in batches:
             out = []
-            for a, b, sa, wa, sb, wb in zip(*(x.column(c).to_pylist() for c in ("a", "b", "spots_a", "words_a", "spots_b", "words_b")), strict=True):
-                p, q = np.frombuffer(sa, np.float32).reshape(-1, 4), np.frombuffer(sb, np.float32).reshape(-1, 4)
-                n, could = consensus(p, np.frombuffer(wa, np.uint8).reshape(-1, 32), q, np.frombuffer(wb, np.uint8).reshape(-1, 32))
+            for task, a, b, spots, words in zip(*(x.column(c).to_pylist() for c in ("task", "a", "b", "spots", "words")), strict=True):
+                if task != now:
+                    now, held = task, {}
+                if b is None:
+                    held[a] = np.frombuffer(spots, np.float32).reshape(-1, 4), np.frombuffer(words, np.uint8).reshape(-1, 32)
+                    continue
+                n, could = consensus(*held[a], *held[b])
                 if n >= max(agree, 0.3 * could):
                     out.append((a, b, n))
             yield batch(shape, [list(z) for z in zip(*out, strict=True)] if out else [[], [], []])
 
-    both = pairs.join(d.select(F.col("id").alias("a"), F.col("spots").alias("spots_a"), F.col("words").alias("words_a")), "a").join(d.select(F.col("id").alias("b"), F.col("spots").alias("spots_b"), F.col("words").alias("words_b")), "b")
-    return map_arrow(both, run, "a long, b long, n_agree int")
-
-
-def links(described_rows: DataFrame, *, common: int = 3, agree: int = 6, levels: int = 3, most: int = 12) -> DataFrame:
-    """Verified pairs (a, b, n_agree)."""
-    d = described_rows
-    # A first look at all keys needs no more than a partial aggregate: most keys have one picture, and of two it says which.
-    size = written(_keys(d).groupBy("k0").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")).where("low <> high"))
-    met = size.where("n = 2").select(F.col("high").alias("a"), F.col("low").alias("b"))
-    rows = written(_longer_keys(d, size.where("n > 2"), levels))
-    for level in range(levels):
-        key = f"k{level}"
-        each = rows.select(key, "id").distinct()
-        held = each.join(each.groupBy(key).agg(F.min("id").alias("low"), F.count("*").alias("n")).where("n > 1"), key)
-        small, large = held.where(F.col("n") <= most), held.where(F.col("n") > most)
-        pairs = small.select(key, F.col("id").alias("a")).join(small.select(key, F.col("id").alias("b")), key).where("a > b").select("a", "b")
-        met = met.unionByName(pairs).unionByName(large.where("id <> low").select(F.col("id").alias("a"), F.col("low").alias("b")))
-        rows = written(rows.join(large.select(key).distinct(), key, "left_semi"))
-    met = written(met.groupBy("a", "b").agg(F.count("*").alias("n")))
-    first = written(met.where(F.col("n") >= common).select("a", "b"))
-    found = written(_verified(first, d, agree))
-    # What still shares a large bucket of the longest keys without being in one component meets in all pairs.
-    roots = written(components(found))
-    rest = rows.select(key, "id").distinct().join(roots.withColumnRenamed("node", "id"), "id", "left").select(key, "id", F.coalesce("root", "id").alias("root"))
-    mixed = rest.groupBy(key).agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r <> s").select(key)
-    rest = written(rest.join(mixed, key))
-    if not rest.head(1):
-        return found
-    cross = rest.select(key, F.col("id").alias("a"), F.col("root").alias("r")).join(rest.select(key, F.col("id").alias("b"), F.col("root").alias("s")), key).where("a > b and r <> s")
-    every = met.unionByName(cross.groupBy("a", "b").agg(F.count("*").alias("n"))).groupBy("a", "b").agg(F.sum("n").alias("n"))
-    more = every.where(F.col("n") >= common).select("a", "b").join(first, ["a", "b"], "left_anti")
-    return found.unionByName(_verified(more, d, agree))
+    size = d.agg(F.sum(F.octet_length("spots") + F.octet_length("words"))).first()[0] or 0
+    n = max(4, -(-size // block_bytes))
+    x, y = (F.pmod(F.xxhash64(c), F.lit(n)) for c in ("a", "b"))
+    dealt = pairs.select((F.least(x, y) * n + F.greatest(x, y)).alias("task"), "a", "b")
+    needed = written(dealt.select("task", F.explode(F.array("a", "b")).alias("id")).distinct())
+    needed = d.select("id", "spots", "words").join(checked(needed), "id")
+    both = needed.select("task", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "spots", "words").unionByName(dealt, allowMissingColumns=True)
+    return map_arrow(both.repartition("task").sortWithinPartitions("task", F.col("b").isNotNull()), run, "a long, b long, n_agree int")
+
+
+def links(described_rows: DataFrame, *, common: int = 3, agree: int = 6) -> DataFrame:
+    """Verified pairs (a, b, n_agree): all that have so many common keys and so many corners that agree."""
+    return _verified(written(_sharing(_keys(described_rows), common)), described_rows, agree)
 
 
 def classes(images: DataFrame) -> DataFrame:
@@ -330,7 +375,7 @@ def classes(images: DataFrame) -> DataFrame:
     one = d.groupBy("id").agg(F.min_by(F.struct("h1", "h2", "n"), F.struct("h1", "h2")).alias("x")).select("id", "x.*")
     member = written(one.join(one.groupBy("h1", "h2").agg(F.min("id").alias("rep")), ["h1", "h2"]).select("id", "rep", "n"))
     reps = member.where("id = rep").join(one.select("id", "h1", "h2"), "id").select("id", "h1", "h2")
-    pictures = d.join(reps, ["id", "h1", "h2"], "left_semi").where("n > 0")
+    pictures = d.join(checked(written(reps)), ["id", "h1", "h2"], "left_semi").where("n > 0")
     if d.groupBy("id").count().where("count > 1").head(1):
         pictures = written(pictures.dropDuplicates(["id"]))
     found = written(links(pictures))
