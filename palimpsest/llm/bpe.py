@@ -16,7 +16,7 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import ahocorasick
@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HASHES, blocks, map_arrow
+from .common import HASHES, blocks, give_back, map_arrow
 
 #: White space that isn't ASCII, or that ASCII rules don't count: before a cut it would change what the pattern takes.
 _WIDE = [c.encode() for c in "\x85\xa0\u1680\u180e\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u2060\u3000\ufeff"]
@@ -189,7 +189,7 @@ class BytePairs:
                     key = last << 32 | token
                     fits = known.get(key)
                     if fits is None:
-                        if len(known) >= 300_000:
+                        if len(known) >= 150_000:
                             known.clear()
                         fits = known[key] = beside(last, token)
                     if fits:
@@ -207,9 +207,11 @@ class BytePairs:
                 at -= lens[token]
 
     def packed(self, text: str) -> bytes:
-        """Ids of any text, as little-endian unsigned 32-bit integers."""
-        out = []
-        for p in self.split_text(text):
+        """Ids of any text, as little-endian unsigned 32-bit integers. Pieces of longer texts are remembered."""
+        out, found = [], self.split_text(text)
+        if len(found) == 1:
+            return _pack(self.piece(found[0].encode("utf-8", "surrogatepass")))
+        for p in found:
             ids = self._pieces.get(p)
             if ids is None:
                 ids = _pack(self.piece(p.encode("utf-8", "surrogatepass")))
@@ -246,6 +248,9 @@ def stretches(raw, ends: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends) - 1, [None, pa.py_buffer(ends), raw if raw is not None else pa.py_buffer(b"")]).cast(pa.binary())
 
 
+#: Bytes of text that are encoded at once.
+BLOCK = 1 << 20
+
 _READY: dict[tuple, tuple[BytePairs, Cuts]] = {}
 
 
@@ -254,11 +259,21 @@ def _ready(vocabulary: bytes, pattern: str) -> tuple[BytePairs, Cuts]:
     HASHES.clear()
     key = hash(vocabulary), pattern
     if key not in _READY:
+        give_back()
         b = BytePairs.from_text(vocabulary, pattern)
-        _READY[key] = b, Cuts(b.packed)
+        _READY[key] = b, Cuts(b.packed, 200_000)
     return _READY[key]
 
 
+def coded(batches: Iterable[pa.RecordBatch], vocabulary: bytes, pattern: str, text: str, rest: list[str], *, decode: bool = True) -> Iterator[list[pa.Array]]:
+    """The columns of `rest`, the ids of the text column and the bytes decoded from them. A worker's memory is that of its
+    dictionaries and some twenty times BLOCK, besides the batch: small blocks, as several workers share an executor."""
+    pairs, cuts = _ready(vocabulary, pattern)
+    for b in blocks(batches, text, BLOCK):
+        ids, ends = cuts.texts(b.column(text)) if pattern in CUTTABLE else pairs.texts(b.column(text))
+        yield [*(b.column(c) for c in rest), stretches(pa.py_buffer(ids), 4 * ends), *([pairs.decoded(ids, ends)] if decode else [])]
+
+
 def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, *, text: str = "text", decode: bool = True) -> DataFrame:
     """Replaces the text column by ids (binary, little-endian unsigned 32-bit) and decoded (binary, from those ids).
 
@@ -269,11 +284,8 @@ def encode_and_decode(docs: DataFrame, vocabulary: str, pattern: str, *, text: s
     sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, cuts = _ready(sent.value, pattern)
-        for b in blocks(batches, text):
-            ids, ends = cuts.texts(b.column(text)) if pattern in CUTTABLE else pairs.texts(b.column(text))
-            made = [stretches(pa.py_buffer(ids), 4 * ends)] + ([pairs.decoded(ids, ends)] if decode else [])
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in rest), *made], names=shape.names)
+        for made in coded(batches, sent.value, pattern, text, rest, decode=decode):
+            yield pa.RecordBatch.from_arrays(made, names=shape.names)
 
     return map_arrow(docs.select(*rest, text), run, shape)
 

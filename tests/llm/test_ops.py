@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
 
@@ -489,3 +491,24 @@ def test_image_links_against_all_pairs(spark):
                 want[a, b] = n
     d = spark.createDataFrame([(i, bytearray(p.tobytes()), bytearray(w.tobytes())) for i, p, w in rows], "id long, spots binary, words binary").repartition(3)
     assert len(want) > 200 and {(r.a, r.b): r.n_agree for r in media.links(d).collect()} == want
+
+
+def test_bpe_memory_of_a_worker():
+    """Besides its batch, a worker that encodes 9 MB of text takes little memory: two of them and the JVM share an executor."""
+    code = """
+import random, re
+import public_tokenizers as P, pyarrow as pa
+from pathlib import Path
+from palimpsest.llm import bpe
+rng = random.Random(1)
+words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(3, 9))) for _ in range(60_000)]
+b = pa.record_batch([pa.array([" ".join(rng.choices(words, k=350)) for _ in range(4500)])], names=["text"])
+vocabulary = Path(P.path("byte_bpe_multi_50k.tiktoken")).read_bytes()
+mb = lambda k: int(re.search(k + r":\\s+(\\d+)", Path("/proc/self/status").read_text())[1]) >> 10
+Path("/proc/self/clear_refs").write_text("5")
+before = mb("VmRSS")
+n = sum(len(x[0]) for x in bpe.coded([b], vocabulary, P.PATTERN, "text", []))
+print(n, mb("VmHWM") - before)
+"""
+    n, more = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=300).stdout.split())
+    assert n == 4500 and more < 75
