@@ -143,19 +143,59 @@ def all_corners(stack: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return list(zip(np.split(spots[order], cut), np.split(words[order], cut), strict=True))
 
 
-def _nearest(da: np.ndarray, db: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each description of a the closest one of b and its distance, and for each of b the closest of a."""
-    a, b = (np.unpackbits(d, axis=1).astype(np.float32) for d in (da, db))
-    step = max(1, (1 << 22) // len(b))
-    j, near = np.empty(len(a), int), np.empty(len(a), np.float32)
-    back, low = np.zeros(len(b), int), np.full(len(b), 999, np.float32)
+def _matches(da: np.ndarray, db: np.ndarray, starts: np.ndarray, near: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of a picture's descriptions and those of others, laid end to end from `starts`: (i, j) that are each other's closest,
+    of equal ones the first, and at most `near` bits apart; by picture, then i."""
+    a, b = np.ascontiguousarray(da).view("<u8"), np.ascontiguousarray(np.ascontiguousarray(db).view("<u8").T)
+    # A distance and, below it, whose it is.
+    kind, shift = (np.int32, 22) if max(a.shape[0], len(db)) < 1 << 22 else (np.int64, 40)
+    rows, columns, step = np.arange(len(a), dtype=kind)[:, None], np.arange(len(db), dtype=kind), max(1, (1 << 15) // len(db))
+    best, back = np.empty((len(a), len(starts)), kind), np.full(len(db), np.iinfo(kind).max, kind)
     for at in range(0, len(a), step):
         some = a[at : at + step]
-        far = some.sum(1)[:, None] + b.sum(1) - 2 * (some @ b.T)
-        j[at : at + step], near[at : at + step] = far.argmin(1), far.min(1)
-        least = far.min(0)
-        back, low = np.where(least < low, far.argmin(0) + at, back), np.minimum(least, low)
-    return j, near, back
+        far = np.bitwise_count(some[:, 0, None] ^ b[0])
+        for w in (1, 2):
+            far += np.bitwise_count(some[:, w, None] ^ b[w])
+        far = np.add(far, np.bitwise_count(some[:, 3, None] ^ b[3]), dtype=kind)
+        far <<= shift
+        np.minimum(back, (far | rows[at : at + step]).min(0), out=back)
+        far |= columns
+        np.minimum.reduceat(far, starts, axis=1, out=best[at : at + step])
+    whose = (1 << shift) - 1
+    j = best & whose
+    ok = (best >> shift <= near) & (back[j] & whose == rows)
+    picture, i = np.nonzero(ok.T)
+    return i, j[i, picture].astype(int)
+
+
+def _agreed(a: np.ndarray, b: np.ndarray, m: np.ndarray, k: slice, within: float) -> np.ndarray:
+    """For each transform of the matches k of a pair, how many of its matches agree; all pairs of a stack. m: what is a match."""
+    s, t = b[:, k, 2] / a[:, k, 2], b[:, k, 3] - a[:, k, 3]
+    c, n = (s * np.cos(t))[..., None], (s * np.sin(t))[..., None]
+    dx, dy = a[:, None, :, 0] - a[:, k, 0, None], a[:, None, :, 1] - a[:, k, 1, None]
+    x = b[:, k, 0, None] + c * dx - n * dy - b[:, None, :, 0]
+    y = b[:, k, 1, None] + n * dx + c * dy - b[:, None, :, 1]
+    return ((x * x + y * y <= ((within * b[:, :, 2]) ** 2)[:, None]) & m[:, None]).sum(2) * m[:, k]
+
+
+def _could(sa: np.ndarray, sb: np.ndarray, p: np.ndarray, q: np.ndarray) -> int:
+    """How many corners could agree on the transform that takes p to q."""
+    s, t = q[2] / p[2], q[3] - p[3]
+    c, n = s * np.cos(t), s * np.sin(t)
+    dx, dy = sa[:, 0] - p[0], sa[:, 1] - p[1]
+    there = _inside(q[0] + c * dx - n * dy, q[1] + n * dx + c * dy, sa[:, 2] * s, sb)
+    dx, dy, c, n = sb[:, 0] - q[0], sb[:, 1] - q[1], c / s**2, -n / s**2
+    return min(there, _inside(p[0] + c * dx - n * dy, p[1] + n * dx + c * dy, sb[:, 2] / s, sa))
+
+
+def _best(a: np.ndarray, b: np.ndarray, within: float) -> tuple[int, int]:
+    """Of the matches of one pair, how many agree on the transform that most agree on, and whose that is."""
+    best, at, step = 0, 0, max(1, (1 << 20) // len(a))
+    for i in range(0, len(a), step):
+        agreed = _agreed(a[None], b[None], np.ones((1, len(a)), bool), slice(i, i + step), within)[0]
+        if agreed.max() > best:
+            best, at = int(agreed.max()), i + int(agreed.argmax())
+    return best, at
 
 
 def consensus(sa: np.ndarray, da: np.ndarray, sb: np.ndarray, db: np.ndarray, *, near: int = 56, within: float = 3.0) -> tuple[int, int]:
@@ -163,29 +203,48 @@ def consensus(sa: np.ndarray, da: np.ndarray, sb: np.ndarray, db: np.ndarray, *,
     that the transform puts inside the other's, at a scale that the other has."""
     if not len(sa) or not len(sb):
         return 0, 0
-    j, far, back = _nearest(da, db)
-    ok = (far <= near) & (back[j] == np.arange(len(sa)))
-    a, b = sa[ok], sb[j[ok]]
-    if not len(a):
+    i, j = _matches(da, db, np.zeros(1, int), near)
+    if not len(i):
         return 0, 0
-    s, t = b[:, 2] / a[:, 2], b[:, 3] - a[:, 3]
-    c, n = s * np.cos(t), s * np.sin(t)
-    best, at, step = 0, 0, max(1, (1 << 20) // len(a))
-    for i in range(0, len(a), step):  # a row for each match's transform, a column for each match
-        k = slice(i, i + step)
-        dx, dy = a[:, 0] - a[k, 0, None], a[:, 1] - a[k, 1, None]
-        x = b[k, 0, None] + c[k, None] * dx - n[k, None] * dy - b[:, 0]
-        y = b[k, 1, None] + n[k, None] * dx + c[k, None] * dy - b[:, 1]
-        agreed = (x * x + y * y <= (within * b[:, 2]) ** 2).sum(1)
-        if agreed.max() > best:
-            best, at = int(agreed.max()), i + int(agreed.argmax())
-    if not best:
-        return 0, 0
-    p, q, s, c, n = a[at], b[at], s[at], c[at], n[at]
-    dx, dy = sa[:, 0] - p[0], sa[:, 1] - p[1]
-    there = _inside(q[0] + c * dx - n * dy, q[1] + n * dx + c * dy, sa[:, 2] * s, sb)
-    dx, dy, c, n = sb[:, 0] - q[0], sb[:, 1] - q[1], c / s**2, -n / s**2
-    return best, min(there, _inside(p[0] + c * dx - n * dy, p[1] + n * dx + c * dy, sb[:, 2] / s, sa))
+    best, at = _best(sa[i], sb[j], within)
+    return (best, _could(sa, sb, sa[i[at]], sb[j[at]])) if best else (0, 0)
+
+
+#: Pairs with up to so many matches are verified in stacks.
+STACKS = (8, 12, 16, 24, 32, 48, 64)
+
+
+def confirmed(sa: np.ndarray, da: np.ndarray, others: list[tuple[np.ndarray, np.ndarray]], agree: int, *, near: int = 56, within: float = 3.0) -> Iterator[tuple[int, int]]:
+    """(k, n) of those other pictures with n, could = consensus(...) and n >= max(agree, 0.3 * could); no picture without corners."""
+    sizes = np.array([len(s) for s, _ in others])
+    starts = np.cumsum(sizes) - sizes
+    sb = np.concatenate([s for s, _ in others])
+    i, j = _matches(da, np.concatenate([d for _, d in others]), starts, near)
+    picture = np.searchsorted(starts, j, "right") - 1
+    n = np.bincount(picture, minlength=len(others))
+    first, row = np.cumsum(n) - n, np.zeros(len(others), int)
+    won: list[tuple[int, int, int]] = []
+    least = max(agree, 1)
+    for low, high in zip((least - 1, *STACKS), STACKS, strict=False):
+        of = np.flatnonzero((n > max(low, least - 1)) & (n <= high))
+        if not len(of):
+            continue
+        row[:] = -1
+        row[of] = np.arange(len(of))
+        at = np.flatnonzero(row[picture] >= 0)
+        place = row[picture[at]], at - first[picture[at]]
+        a, b, m = np.ones((len(of), high, 4), np.float32), np.ones((len(of), high, 4), np.float32), np.zeros((len(of), high), bool)
+        a[place], b[place], m[place] = sa[i[at]], sb[j[at]], True
+        agreed = _agreed(a, b, m, slice(None), within)
+        won += zip(of.tolist(), agreed.max(1).tolist(), (first[of] + agreed.argmax(1)).tolist(), strict=True)
+    for k in np.flatnonzero(n > STACKS[-1]).tolist():
+        own = slice(first[k], first[k] + n[k])
+        best, at = _best(sa[i[own]], sb[j[own]], within)
+        won.append((k, best, int(first[k]) + at))
+    for k, best, at in won:
+        # No more could agree than either picture has corners.
+        if best >= least and (best >= 0.3 * min(len(sa), sizes[k]) or best >= 0.3 * _could(sa, others[k][0], sa[i[at]], sb[j[at]])):
+            yield k, best
 
 
 def _inside(x: np.ndarray, y: np.ndarray, scale: np.ndarray, other: np.ndarray) -> int:
@@ -260,6 +319,17 @@ def _keys(rows: DataFrame) -> DataFrame:
     return map_arrow(rows.select("id", "words"), run, "k0 long, id long")
 
 
+def _order(o: np.ndarray, v: np.ndarray) -> np.ndarray:
+    """The order by o, which doesn't fall, and then by v; equal pairs in any order."""
+    if not len(o):
+        return np.zeros(0, int)
+    r, low = np.cumsum(np.concatenate(([False], o[1:] != o[:-1]))), int(v.min())
+    bits = (int(v.max()) - low).bit_length()
+    if bits + int(r[-1]).bit_length() > 62:
+        return np.lexsort((v, o))
+    return np.argsort(r << bits | (v - low))  # one sort of single numbers takes a fraction of that time
+
+
 #: A bucket's message to a picture names so many others at most; a picture that has more gets several.
 NAMED = 512
 
@@ -320,7 +390,7 @@ def _sharing(keys: DataFrame, common: int) -> DataFrame:
                 before = np.concatenate(([0], total))[np.cumsum(n) - n]
                 o, v = np.append(o, np.repeat(b.column("a").to_numpy(), n)), np.append(v, total - np.repeat(before, n))
                 c = np.append(c, np.ones(len(total), np.int64))
-                order = np.lexsort((v, o))
+                order = _order(o, v)
                 o, v, c = o[order], v[order], c[order]
                 new = np.flatnonzero(np.concatenate(([True], (o[1:] != o[:-1]) | (v[1:] != v[:-1]))))
                 o, v, c = o[new], v[new], np.add.reduceat(c, new)
@@ -341,17 +411,33 @@ def _verified(pairs: DataFrame, d: DataFrame, agree: int, *, block_bytes: int =
 
     def run(batches):
         now, held = None, {}
+
+        def of(a: int, wanted: list[int]) -> Iterator[tuple[int, int, int]]:
+            """Those of some pairs (a, b), a few thousand corners at a time."""
+            at = 0
+            while at < len(wanted):
+                end, n = at, 0
+                while end < len(wanted) and (end == at or n < 2048):
+                    n, end = n + len(held[wanted[end]][0]), end + 1
+                for k, best in confirmed(*held[a], [held[b] for b in wanted[at:end]], agree):
+                    yield a, wanted[at + k], best
+                at = end
+
         for x in batches:
-            out = []
+            out, a_now, wanted = [], None, []
             for task, a, b, spots, words in zip(*(x.column(c).to_pylist() for c in ("task", "a", "b", "spots", "words")), strict=True):
+                if wanted and (task != now or a != a_now or b is None):
+                    out += of(a_now, wanted)
+                    wanted = []
                 if task != now:
                     now, held = task, {}
                 if b is None:
                     held[a] = np.frombuffer(spots, np.float32).reshape(-1, 4), np.frombuffer(words, np.uint8).reshape(-1, 32)
                     continue
-                n, could = consensus(*held[a], *held[b])
-                if n >= max(agree, 0.3 * could):
-                    out.append((a, b, n))
+                a_now = a
+                wanted.append(b)
+            if wanted:
+                out += of(a_now, wanted)
             yield batch(shape, [list(z) for z in zip(*out, strict=True)] if out else [[], [], []])
 
     size = d.agg(F.sum(F.octet_length("spots") + F.octet_length("words"))).first()[0] or 0
@@ -361,7 +447,7 @@ def _verified(pairs: DataFrame, d: DataFrame, agree: int, *, block_bytes: int =
     needed = written(dealt.select("task", F.explode(F.array("a", "b")).alias("id")).distinct())
     needed = d.select("id", "spots", "words").join(checked(needed), "id")
     both = needed.select("task", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), "spots", "words").unionByName(dealt, allowMissingColumns=True)
-    return map_arrow(both.repartition("task").sortWithinPartitions("task", F.col("b").isNotNull()), run, "a long, b long, n_agree int")
+    return map_arrow(both.repartition("task").sortWithinPartitions("task", F.col("b").isNotNull(), "a"), run, "a long, b long, n_agree int")
 
 
 def links(described_rows: DataFrame, *, common: int = 3, agree: int = 6) -> DataFrame:

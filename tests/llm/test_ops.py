@@ -6,6 +6,7 @@ import random
 import re
 import subprocess
 import sys
+import time
 import zlib
 from collections import Counter
 
@@ -512,3 +513,28 @@ print(n, mb("VmHWM") - before)
 """
     n, more = map(int, subprocess.run([sys.executable, "-c", code], check=True, capture_output=True, text=True, timeout=300).stdout.split())
     assert n == 4500 and more < 75
+
+
+def test_many_image_pairs_are_confirmed_as_one_by_one():
+    """Pairs of a picture verified in stacks: the same links as by consensus(), in a fraction of its time."""
+    rng = np.random.default_rng(7)
+    look, place, others = rng.integers(0, 256, (60, 32), np.uint8), rng.uniform(0, 200, (60, 2)), []
+    sa = np.concatenate([place, np.ones((60, 1)), np.zeros((60, 1))], 1).astype(np.float32)
+    for i in range(400):  # up to 74 corners are the picture's own, some of them moved or repeated
+        n = 40 + i % 40
+        spots, words = rng.uniform(0, 200, (n, 4)).astype(np.float32), rng.integers(0, 256, (n, 32), np.uint8)
+        spots[:, 2], spots[:, 3] = rng.choice([1, 0.72**-1], n), rng.uniform(-3, 3, n)
+        has = rng.integers(0, 60, min(n, i % 75))
+        words[: len(has)], spots[: len(has)] = look[has], sa[has]
+        spots[: len(has) // (1 + i % 3), :2] += rng.uniform(-3, 3, 2)
+        others.append((spots, words))
+    began = time.process_time()
+    each = [media.consensus(sa, look, *x) for x in others]
+    alone, began = time.process_time() - began, time.process_time()
+    got = list(media.confirmed(sa, look, others, 6))
+    assert sorted(got) == [(k, n) for k, (n, could) in enumerate(each) if n >= max(6, 0.3 * could)] and 100 < len(got) < 390
+    assert time.process_time() - began < 0.6 * alone
+    o, v = np.sort(rng.integers(-(2**62), 2**62, 300)), rng.integers(-(2**63), 2**63 - 1, 300)
+    for x, y in ((o, v), (o // 2**60, v), (o // 2**60, v // 2**60)):
+        z = media._order(x, y)
+        assert list(zip(x[z], y[z], strict=True)) == sorted(zip(x, y, strict=True))
